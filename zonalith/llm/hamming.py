@@ -22,8 +22,41 @@ from zonalith.llm.components import local_roots
 MOST = 2048
 
 
-def bits_of(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def pairs(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all near pairs of rows sorted by shard: each row against the next, the next but one, ..., of its shard."""
+    n = len(fp)
+    last = np.flatnonzero(np.append(shard[1:] != shard[:-1], True))
+    end = last[np.searchsorted(last, np.arange(n))]
+    at, step = np.arange(n), 1
+    while len(at := at[at + step <= end[at]]):
+        to = at + step
+        near = (np.bitwise_count(fp[at] ^ fp[to]) <= radius) & ((side[at] == 0) | (side[at] != side[to]))
+        if near.any():
+            yield at[near], to[near]
+        step += 1
+
+
+def by_shards(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Whole shards of batches sorted by shard, about `rows` rows or one shard at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if n >= rows:
+            shard = b.column("shard").to_numpy()
+            before = held[-1].column("shard")[-1].as_py()
+            cut = int(np.argmax(shard != before)) if (shard != before).any() else b.num_rows
+            if cut:
+                held.append(b.slice(0, cut))
+            if cut < b.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [b.slice(cut)], b.num_rows - cut
+        else:
+            held.append(b)
+            n += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _blocks(width: int, n: int) -> list[tuple[int, int]]:
@@ -44,21 +77,21 @@ def _others(column: str, at: int, n: int):
 
 
 def sharded(prints: DataFrame, radius: int, most: int = MOST) -> DataFrame:
-    """prints(fp, ...) copied to shards: shard string, side (0: stored and searched; 1, 2: stored or searched only)."""
+    """prints(fp, ...) copied to shards: shard long (shards may meet under one hash: no harm), side (0: stored and searched; 1, 2: stored or searched only)."""
     blocks = _blocks(64, radius + 1)
     rest = prints.columns
     first = prints.select("*", F.posexplode(_values("fp", blocks)).alias("i", "v"))
     sizes = first.groupBy("i", "v").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     large = written(sizes.select("i", "v", F.lit(True).alias("large")), "shards")
     dealt = first.join(large, ["i", "v"], "left")
-    cold = dealt.filter(F.col("large").isNull()).select(*rest, F.concat_ws("-", "i", "v").alias("shard"), F.lit(0).alias("side"))
+    cold = dealt.filter(F.col("large").isNull()).select(*rest, F.xxhash64("i", "v").alias("shard"), F.lit(0).alias("side"))
     other = F.lit(None).cast("long")
     for i, (at, n) in enumerate(blocks):
         other = F.when(F.col("i") == i, _others("fp", at, n)).otherwise(other)
     left = 64 - max(n for _, n in blocks)
     again = dealt.filter(F.col("large").isNotNull()).withColumn("_other", other)
     again = again.select(*rest, "i", "v", F.posexplode(_values("_other", _blocks(left, radius + 1))).alias("j", "w"))
-    key = F.concat_ws("-", "i", "v", "j", "w")
+    key = F.xxhash64("i", "v", "j", "w")
     again = again.select(*rest, key.alias("shard"))
     sizes = again.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     cuts = written(sizes.select("shard", F.ceil(F.col("n") / most).cast("int").alias("cuts")), "shards")
@@ -68,67 +101,30 @@ def sharded(prints: DataFrame, radius: int, most: int = MOST) -> DataFrame:
     met = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least("cut", k).alias("x"), F.greatest("cut", k).alias("y")))
     parts = dealt.filter(F.col("cuts").isNotNull()).select(*rest, "shard", "cut", F.explode(met).alias("m"))
     side = F.when(F.col("m.x") == F.col("m.y"), 0).when(F.col("cut") == F.col("m.x"), 1).otherwise(2)
-    parts = parts.select(*rest, F.concat_ws("-", "shard", "m.x", "m.y").alias("shard"), side.alias("side"))
+    parts = parts.select(*rest, F.xxhash64("shard", "m.x", "m.y").alias("shard"), side.alias("side"))
     return cold.unionByName(whole).unionByName(parts)
 
 
-Search = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+#: (shard, side, fp, radius) of rows sorted by shard to the positions of near rows.
+Search = Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
 
 class _Forest:
-    """Links of each shard's spanning forest; `search` gives the positions (stored, query) within the radius."""
-
-    def __init__(self, search: Search, radius: int, columns: list[str], keep_all: bool):
-        self.search, self.radius, self.columns, self.keep_all = search, radius, columns, keep_all
-
-    def links(self, fp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        stored, asked = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        if len(stored) == 0 or len(asked) == 0 or len(fp) < 2:
-            return np.zeros(0, int), np.zeros(0, int)
-        a, b = self.search(fp[stored], fp[asked], self.radius)
-        a, b = stored[a], asked[b]
-        if self.keep_all:
-            on = (a < b) if not side.any() else np.ones(len(a), bool)
-            return a[on], b[on]
-        root = local_roots(len(fp), a, b)
-        child = np.flatnonzero(root != np.arange(len(fp)))
-        return root[child], child
+    """A spanning forest of what `search` finds in whole shards."""
+
+    def __init__(self, search: Search, radius: int):
+        self.search, self.radius = search, radius
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: str | None = None
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            names = batch.column("shard").to_pylist()
-            edges = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1]] + [len(names)]
-            for i, j in zip(edges, edges[1:], strict=False):
-                if i == j:
-                    continue
-                if names[i] != shard:
-                    yield from self.found(held)
-                    shard, held = names[i], []
-                held.append(batch.slice(i, j - i))
-        yield from self.found(held)
-
-    def found(self, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sum(b.num_rows for b in held) < 2:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        fp = rows.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        a, b = self.links(fp, rows.column("side").to_numpy())
-        if len(a):
-            left, right = rows.select(self.columns).take(pa.array(a)), rows.select(self.columns).take(pa.array(b))
-            out = pa.Table.from_arrays([*left.columns, *right.columns], names=[f"{c}_{s}" for s in "ab" for c in self.columns])
-            yield from out.combine_chunks().to_batches()
-
-
-def links(prints: DataFrame, search: Search, radius: int, columns: list[str], keep_all: bool = False, most: int = MOST) -> DataFrame:
-    """Links between distinct prints(fp long, ...): each of `columns` of both ends, as <column>_a and <column>_b.
-
-    keep_all: every pair of a shard that `search` finds, for a later exact test; else its spanning forest.
-    """
-    kinds = dict(prints.dtypes)
-    schema = ", ".join(f"{c}_{s} {kinds[c]}" for s in "ab" for c in columns)
-    dealt = sharded(prints, radius, most).repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(_Forest(search, radius, columns, keep_all), schema)
+        for rows in by_shards(batches):
+            fp = rows.column("fp").to_numpy()
+            a, b = self.search(rows.column("shard").to_numpy(), rows.column("side").to_numpy(), fp.view(np.uint64), self.radius)
+            root = local_roots(len(fp), a, b)
+            child = np.flatnonzero(root != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[root[child]]), pa.array(fp[child])], names=["a", "b"])
 
 
+def links(prints: DataFrame, search: Search, radius: int, most: int = MOST) -> DataFrame:
+    """Links (a, b) between distinct prints(fp long) that connect whatever links of at most `radius` bits connect."""
+    dealt = sharded(prints, radius, most).repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(_Forest(search, radius), "a long, b long")

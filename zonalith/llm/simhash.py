@@ -47,45 +47,50 @@ class _Prints:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
 
-class BKTree:
-    """A Burkhard-Keller tree of distinct 64-bit values: below a node, one child for each Hamming distance from it."""
+class BKTrees:
+    """Burkhard-Keller trees of 64-bit values, one for each group: below a node, one child for each Hamming distance from it."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, group: np.ndarray, n_groups: int):
         n = len(values)
         self.values = values
-        self.child = np.full((n, 65), -1, np.int32)
-        at, waiting = np.zeros(n - 1, np.int64), np.arange(1, n)
+        self.root = np.full(n_groups, -1, np.int64)
+        self.root[group[::-1]] = np.arange(n)[::-1]  # the first of each group
+        self.child = np.full(n * 65, -1, np.int32)
+        at, waiting = self.root[group], np.arange(n)
+        at, waiting = at[at != waiting], waiting[at != waiting]
         while len(waiting):
-            d = np.bitwise_count(values[waiting] ^ values[at]).astype(np.int64)
-            edge = at * 65 + d
-            _, first = np.unique(edge, return_index=True)  # of those that wait for one edge, the first becomes the child
-            flat = self.child.reshape(-1)
-            flat[edge[first]] = waiting[first]
-            at = flat[edge].astype(np.int64)
+            edge = at * 65 + np.bitwise_count(values[waiting] ^ values[at])
+            self.child[edge[::-1]] = waiting[::-1]  # of those that wait for one edge, the first becomes the child
+            at = self.child[edge].astype(np.int64)
             stay = at != waiting
             at, waiting = at[stay], waiting[stay]
 
-    def within(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(node, query) positions within the radius; all queries walk the tree together, along edges d - r to d + r only."""
-        hits: list[tuple[np.ndarray, np.ndarray]] = []
-        step = np.arange(-radius, radius + 1)
-        for at in range(0, len(asked), 512):
-            query = np.arange(at, min(at + 512, len(asked)))
-            node = np.zeros(len(query), np.int64)
+    def within(self, asked: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(node, query) positions within the radius; queries walk their group's tree together, along edges d - r to d + r only."""
+        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(asked), 1 << 13):
+            query = np.arange(at, min(at + (1 << 13), len(asked)))
+            node = self.root[group[query]]
+            query, node = query[node >= 0], node[node >= 0]
             while len(node):
                 d = np.bitwise_count(asked[query] ^ self.values[node]).astype(np.int64)
                 near = d <= radius
                 hits.append((node[near], query[near]))
-                edges = d[:, None] + step
-                allowed = (edges >= 0) & (edges <= 64)
-                below = np.where(allowed, self.child[node[:, None], np.clip(edges, 0, 64)], -1)
-                row, col = np.nonzero(below >= 0)
-                query, node = query[row], below[row, col].astype(np.int64)
+                ahead = []
+                for edge in (d + s for s in range(-radius, radius + 1)):
+                    below = np.where((edge >= 0) & (edge <= 64), self.child[node * 65 + np.clip(edge, 0, 64)], -1)
+                    on = below >= 0
+                    ahead.append((query[on], below[on].astype(np.int64)))
+                query, node = np.concatenate([x[0] for x in ahead]), np.concatenate([x[1] for x in ahead])
         return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
 
-def bk_search(stored: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    return BKTree(stored).within(asked, radius)
+def bk_search(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    group = np.cumsum(np.append(False, shard[1:] != shard[:-1]))
+    stored, asked = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    trees = BKTrees(fp[stored], group[stored], int(group[-1]) + 1)
+    node, query = trees.within(fp[asked], group[asked], radius)
+    return stored[node], asked[query]
 
 
 def near_groups(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, most: int = hamming.MOST) -> DataFrame:
@@ -101,8 +106,8 @@ def near_groups(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42
     small_batches(docs.sparkSession)
     prints = written(docs.select("doc_id", "text").mapInArrow(_Prints(words, seed), "doc_id long, fp long"), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    found = hamming.links(nodes.select("fp"), bk_search, radius, ["fp"], most=most)
-    roots = written(components(found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))), "roots")
+    found = hamming.links(nodes.select("fp"), bk_search, radius, most)
+    roots = written(components(found), "roots")
     of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = of.groupBy("root").agg(F.min("low").alias("component_id"))
     named = of.join(lows, "root").select(F.col("fp").alias("_fp"), "component_id")

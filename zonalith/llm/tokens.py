@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -12,6 +13,8 @@ import numpy as np
 MARKS = ".,;:!?|#*$%&"
 _spaced = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
 _other_space = re.compile(r"[^\S \n]").search
+#: A space next to white space, or at either end.
+_uneven = re.compile(r"^ | [ \n]|\n | $").search
 _odd_control = re.compile(r"[\x1c-\x1f]").search
 _made: dict[tuple, Encoder] = {}
 
@@ -34,6 +37,7 @@ class Encoder:
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.seen: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         kind = made.get("pre_tokenizer") or {}
@@ -45,35 +49,56 @@ class Encoder:
             self.style = "dropped"
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.width.itemsize == 2 else "I"  # native order: little-endian on every platform Spark runs on here
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
+        """Put the ids of new pieces into `seen`; the parts they are made of stay longer, in two generations."""
         cut, cores = [], set()
         for piece in new:
-            core = piece.rstrip(MARKS)
-            if core and core[-1].isalpha():
-                if self.style == "dropped" and core.isascii():
-                    core = core.lower()
-                tail = piece[len(core) :]
-                cut.append((piece, core, tail))
-                cores.add(core)
-                if tail:
-                    cores.add(tail)
-            else:
-                cut.append((piece, piece, ""))
-                cores.add(piece)
-        if len(self.cores) + len(cores) > self.most:
-            self.cores = {c: self.cores[c] for c in cores if c in self.cores}
-        unknown = [c for c in cores if c not in self.cores]
-        self.cores.update(zip(unknown, self._direct(unknown), strict=True))
-        of = self.cores
+            text = piece
+            if self.style == "leading":
+                text = piece[1:] if piece[0] == "\0" else " " + piece
+            core = text.rstrip(MARKS)
+            tail = text[len(core) :]
+            if not core or not core[-1].isalpha():
+                core, tail = text, ""
+            elif self.style == "dropped" and core.isascii():
+                core = core.lower()
+            cut.append((piece, core, tail))
+            cores.add(core)
+            if tail:
+                cores.add(tail)
+        of, old = self.cores, self.old
+        if len(of) > self.most:
+            self.old, self.cores = of, {}
+            of, old = self.cores, self.old
+        unknown = []
+        for c in cores:
+            if c not in of:
+                if c in old:
+                    of[c] = old[c]
+                else:
+                    unknown.append(c)
+        of.update(zip(unknown, self._direct(unknown), strict=True))
         self.seen.update((piece, of[core] + of[tail] if tail else of[core]) for piece, core, tail in cut)
 
+    def _cut(self, text: str) -> list[str] | None:
+        """The keys of a text's pieces: its words, or what follows each space, "\\0" marking a piece without one."""
+        if self.style == "dropped":
+            return None if _odd_control(text) else text.split()
+        if _other_space(text) or "\0" in text:
+            return None
+        if _uneven(text):
+            return [p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n") else "\0" + p for p in _spaced(text)]
+        out = text.split(" ")
+        out[0] = "\0" + out[0]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.style == "whole":
             return self._direct(texts)
-        odd = _odd_control if self.style == "dropped" else _other_space
-        cuts = [None if odd(t) else t.split() if self.style == "dropped" else _spaced(t) for t in texts]
+        cuts = [self._cut(t) if t else [] for t in texts]
         need: set[str] = set().union(*(c for c in cuts if c is not None))
         new = [p for p in need if p not in self.seen]
         if len(self.seen) + len(new) > self.most:
