@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,8 @@ class Shape:
 
 
 def word_class(word: bytes) -> int:
-    """1 to N_CLASSES: from the last two letters and the first other-than-ASCII byte pair of a word."""
-    odd = next((word[i : i + 2] for i in range(len(word)) if word[i] >= 0xC0), b"")
-    return 1 + zlib.crc32(odd + b"/" + word.strip(b".,;:!?\"'()")[-2:]) % N_CLASSES
+    """1 to N_CLASSES: from the last three bytes of a word without marks."""
+    return 1 + zlib.crc32(word.rstrip(b".,;:!?\"'()")[-3:]) % N_CLASSES
 
 
 def is_held_out(doc: int | None, parts: int) -> bool:
@@ -122,18 +122,22 @@ def expected(model: Model, sizes: np.ndarray, steps: np.ndarray, alpha: np.ndarr
     return states[0].sum(axis=0), moves * model.move, states
 
 
-class _Symbols:
-    """Symbols of a text: the head's words by a table, the rest by class."""
+class _Symbols(dict):
+    """Symbols of words: the head's own, the rest by class; what was looked up is kept while there is room."""
 
-    def __init__(self, head):
-        self.head = head
-        self.classes: dict[bytes, int] = {}
+    def __init__(self, head: dict[bytes, int], room: int = 300_000):
+        super().__init__(head)
+        self.head, self.most = head, len(head) + room
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.head)
+        self[word] = out = word_class(word)
+        return out
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        get = self.head.get
-        out = [get(w) or word_class(w) for w in words]
-        out.append(0)
-        return np.array(out, np.int64)
+        return np.fromiter(chain(map(self.__getitem__, words), (0,)), np.int32, len(words) + 1)
 
 
 def _anchor(text: bytes, states: int) -> int:
@@ -147,34 +151,60 @@ def _anchor(text: bytes, states: int) -> int:
 _no_ascii = dict.fromkeys(range(128))
 
 
+class _Lay:
+    """Each text as symbols, with what the head knows of its score and the counts of its words outside the head."""
+
+    def __init__(self, head, base, states: int, parts: int):
+        self.head, self.base, self.states, self.parts = head, base, states, parts
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, logs = _Symbols(self.head.value), self.base.value
+        row = TaskContext.get().partitionId() << 40  # the rows are written, so a number stays with its row
+        for b in text_batches(batches):
+            docs, texts = b.column(0).to_pylist(), [t.lower() for t in utf8(b.column(1))]
+            words = [t.split() for t in texts]
+            laid = [symbols.of(w) for w in words]
+            rare = [Counter([own[k] for k in np.flatnonzero((s[:-1] <= N_CLASSES)).tolist()]) for own, s in zip(words, laid, strict=True)]
+            known = [int((s > N_CLASSES).sum()) + (logs[0] != 0) for s in laid]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(range(row, row + len(docs)), pa.int64()), b.column(0), pa.array([is_held_out(d, self.parts) for d in docs]), pa.array([_anchor(t, self.states) for t in texts], pa.int32()),
+                pa.array(map(len, laid), pa.int64()), pa.array(map(int, known), pa.int64()), pa.array([float(logs[s].sum()) for s in laid]), pa.array([s.astype("<i4").tobytes() for s in laid], pa.binary()),
+                pa.array([list(r) for r in rare], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())), pa.array([[symbols[w] for w in r] for r in rare], pa.list_(pa.int32())),
+            ], names=["row", "doc_id", "held_out", "anchor", "n_tokens", "n_known", "base", "symbols", "rare", "times", "classes"])
+            row += len(docs)
+
+
+_LAID = "row long, doc_id long, held_out boolean, anchor int, n_tokens long, n_known long, base double, symbols binary, rare array<string>, times array<long>, classes array<int>"
+
+
 class _Expect:
-    """One pass of Baum-Welch over training texts: expected counts, summed in the task.
+    """One pass of Baum-Welch over (anchor, symbols) of training texts: expected counts, summed in the task.
 
     kind 0: first states; 1: moves from state `at`; 2: states by symbol `at`.  Without a model, the first guess: each
     text stays in the state of its anchor.
     """
 
-    def __init__(self, head, model, states: int, parts: int):
-        self.head, self.model, self.states, self.parts = head, model, states, parts
+    def __init__(self, size: int, model, states: int):
+        self.size, self.model, self.states = size, model, states
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = _Symbols(self.head.value)
         model: Model | None = self.model.value if self.model else None
-        k, size = self.states, 1 + N_CLASSES + len(self.head.value)
+        k, size = self.states, self.size
         first, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
-        for b in text_batches(batches):
-            pairs = zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True)
-            kept = [(t, symbols.of(t.lower().split())) for d, t in pairs if not is_held_out(d, self.parts)]
+        for b in batches:
+            laid = [np.frombuffer(x, "<i4") for x in b.column(1).to_pylist()]
+            if not laid:
+                continue
             if model is None:
-                for t, s in kept:
-                    at = _anchor(t, k)
-                    first[at] += 1
-                    moves[at, at] += len(s) - 1
-                    emit[:, at] += np.bincount(s, minlength=size) if len(s) > size // 8 else 0
-                    if len(s) <= size // 8:
-                        np.add.at(emit[:, at], s, 1)
+                anchors = b.column(0).to_numpy()
+                for at in range(k):
+                    own = [laid[i] for i in np.flatnonzero(anchors == at).tolist()]
+                    if own:
+                        first[at] += len(own)
+                        moves[at, at] += sum(map(len, own)) - len(own)
+                        emit[:, at] += np.bincount(np.concatenate(own), minlength=size)
                 continue
-            for _, sizes, steps in _padded([s for _, s in kept]):
+            for _, sizes, steps in _padded(laid):
                 alpha, scale, _ = forward(model, sizes, steps)
                 f, m, states = expected(model, sizes, steps, alpha, scale)
                 first += f
@@ -191,13 +221,14 @@ class _Expect:
         yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at), e], names=["kind", "at", "e"])
 
 
-def baum_welch(docs: DataFrame, head, n_symbols: int, shape: Shape) -> Model:
+def baum_welch(laid: DataFrame, n_symbols: int, shape: Shape) -> Model:
     """Train on all texts that aren't held out: counts are summed in the tasks, then by symbol; the driver gets K numbers for each."""
-    sc, k = docs.sparkSession.sparkContext, shape.states
+    sc, k = laid.sparkSession.sparkContext, shape.states
     model = None
+    texts = laid.filter(~F.col("held_out")).select("anchor", "symbols")
     for _ in range(shape.iterations + 1):
         shared = sc.broadcast(model) if model else None
-        counts = docs.select("doc_id", "text").mapInArrow(_Expect(head, shared, k, shape.held_out), "kind int, at long, e array<double>")
+        counts = texts.mapInArrow(_Expect(n_symbols, shared, k), "kind int, at long, e array<double>")
         sums = counts.groupBy("kind", "at").agg(*[F.sum(F.col("e")[i]).alias(f"e{i}") for i in range(k)]).toArrow()
         kind, at = sums.column(0).to_numpy(), sums.column(1).to_numpy()
         e = np.stack([sums.column(2 + i).to_numpy() for i in range(k)], axis=1) if len(kind) else np.zeros((0, k))
@@ -211,30 +242,18 @@ def baum_welch(docs: DataFrame, head, n_symbols: int, shape: Shape) -> Model:
 
 
 class _Score:
-    """Likelihoods of whole texts in head symbols and classes, and the counts of the words outside the head."""
+    """The log10 likelihood of each row's symbols."""
 
-    def __init__(self, head, base, model, parts: int):
-        self.head, self.base, self.model, self.parts = head, base, model, parts
+    def __init__(self, model):
+        self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, logs, model = _Symbols(self.head.value), self.base.value, self.model.value
-        head = self.head.value
-        row = TaskContext.get().partitionId() << 40  # the rows are written, so a number stays with its row
-        for b in text_batches(batches):
-            docs = b.column(0).to_pylist()
-            words = [t.lower().split() for t in utf8(b.column(1))]
-            laid = [symbols.of(w) for w in words]
-            score = np.zeros(len(docs))
-            for at, sizes, steps in _padded(laid):
+        model = self.model.value
+        for b in batches:
+            score = np.zeros(b.num_rows)
+            for at, sizes, steps in _padded([np.frombuffer(x, "<i4") for x in b.column(b.num_columns - 1).to_pylist()]):
                 score[at] = forward(model, sizes, steps)[2] / math.log(10)
-            base = [float(logs[s].sum()) for s in laid]
-            known = [int((s == 0).sum() * (logs[0] != 0) + (s > N_CLASSES).sum()) for s in laid]
-            rare = [Counter(w for w in own if w not in head) for own in words]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(row, row + len(docs)), pa.int64()), b.column(0), pa.array([is_held_out(d, self.parts) for d in docs]), pa.array(map(len, laid), pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score),
-                pa.array([list(r) for r in rare], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())), pa.array([[word_class(w) for w in r] for r in rare], pa.list_(pa.int32())),
-            ], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "classes"])
-            row += len(docs)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], "score"])
 
 
 class _Classes:
@@ -270,10 +289,9 @@ def score(docs: DataFrame, shape: Shape | None = None) -> DataFrame:
     own = np.zeros(first + len(table))
     own[0] = math.log10((ends + 0.1) / divisor)
     own[first:] = np.log10((top.column(1).to_numpy() + 0.1) / divisor) if len(table) else 0
-    model = spark.sparkContext.broadcast(baum_welch(docs, head, first + len(table), shape))
     base = spark.sparkContext.broadcast(own)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<long>, classes array<int>"
-    scored = written(docs.mapInArrow(_Score(head, base, model, shape.held_out), schema), "scored")
+    laid = written(docs.mapInArrow(_Lay(head, base, shape.states, shape.held_out), _LAID), "laid")
+    model = spark.sparkContext.broadcast(baum_welch(laid, first + len(table), shape))
     in_head = F.lit(False)
     if len(table):
         least, last = top.column(1)[-1].as_py(), top.column(0)[-1].as_py()
@@ -281,12 +299,14 @@ def score(docs: DataFrame, shape: Shape | None = None) -> DataFrame:
     tail = words.filter(~in_head)
     sums = {r["class"]: (r["n"], r["v"]) for r in tail.mapInArrow(_Classes(), "class int, c long").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     divisors = [math.log10(a + 0.1 * (b + 1)) for a, b in (sums.get(c, (0, 0)) for c in range(1, first))]
-    asked = scored.select("row", F.explode(F.arrays_zip("rare", "times", "classes")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"), F.col("x.classes").alias("class"))
+    asked = laid.select("row", F.explode(F.arrays_zip("rare", "times", "classes")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"), F.col("x.classes").alias("class"))
     c = F.coalesce("c", F.lit(0)) + 0.1
     in_class = F.log10(c) - F.element_at(F.array(*map(F.lit, divisors)), F.col("class"))
     met = asked.join(tail, "word", "left").groupBy(F.col("row").alias("_row")).agg(
         F.sum(F.col("times") * F.log10(c / divisor)).alias("_base"), F.sum(F.col("times") * in_class).alias("_score"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("_known")
     )
-    slim = scored.drop("rare", "times", "classes").join(met, F.col("row") == F.col("_row"), "left")
+    numbers = laid.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "symbols")
+    scored = numbers.mapInArrow(_Score(model), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    slim = scored.join(met, F.col("row") == F.col("_row"), "left")
     more = lambda c, extra: F.col(c) + F.coalesce(extra, F.lit(0))
     return slim.select("doc_id", "held_out", "n_tokens", more("n_known", "_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), more("base", "_base").alias("base_score"), more("score", "_score").alias("score"))
