@@ -36,6 +36,14 @@ def pairs(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> I
         step += 1
 
 
+def first_block(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """The first block in which each pair of fingerprints agrees."""
+    out = np.full(len(a), radius + 1)
+    for i, (at, n) in reversed(list(enumerate(_blocks(64, radius + 1)))):
+        out[(a ^ b) >> np.uint64(at) & np.uint64((1 << n) - 1) == 0] = i
+    return out
+
+
 def by_shards(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
     """Whole shards of batches sorted by shard, about `rows` rows or one shard at a time."""
     held: list[pa.RecordBatch] = []
@@ -77,31 +85,31 @@ def _others(column: str, at: int, n: int):
 
 
 def sharded(prints: DataFrame, radius: int, most: int = MOST) -> DataFrame:
-    """prints(fp, ...) copied to shards: shard long (shards may meet under one hash: no harm), side (0: stored and searched; 1, 2: stored or searched only)."""
+    """prints(fp, ...) copied to shards: shard long (shards may meet under one hash: no harm), block, side (0: stored and searched; 1, 2: stored or searched only)."""
     blocks = _blocks(64, radius + 1)
     rest = prints.columns
     first = prints.select("*", F.posexplode(_values("fp", blocks)).alias("i", "v"))
     sizes = first.groupBy("i", "v").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     large = written(sizes.select("i", "v", F.lit(True).alias("large")), "shards")
-    dealt = first.join(large, ["i", "v"], "left")
-    cold = dealt.filter(F.col("large").isNull()).select(*rest, F.xxhash64("i", "v").alias("shard"), F.lit(0).alias("side"))
+    dealt = first.join(large, ["i", "v"], "left").withColumn("block", F.col("i"))
+    cold = dealt.filter(F.col("large").isNull()).select(*rest, "block", F.xxhash64("i", "v").alias("shard"), F.lit(0).alias("side"))
     other = F.lit(None).cast("long")
     for i, (at, n) in enumerate(blocks):
         other = F.when(F.col("i") == i, _others("fp", at, n)).otherwise(other)
     left = 64 - max(n for _, n in blocks)
     again = dealt.filter(F.col("large").isNotNull()).withColumn("_other", other)
-    again = again.select(*rest, "i", "v", F.posexplode(_values("_other", _blocks(left, radius + 1))).alias("j", "w"))
+    again = again.select(*rest, "block", "i", "v", F.posexplode(_values("_other", _blocks(left, radius + 1))).alias("j", "w"))
     key = F.xxhash64("i", "v", "j", "w")
-    again = again.select(*rest, key.alias("shard"))
+    again = again.select(*rest, "block", key.alias("shard"))
     sizes = again.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     cuts = written(sizes.select("shard", F.ceil(F.col("n") / most).cast("int").alias("cuts")), "shards")
     dealt = again.join(cuts, "shard", "left").withColumn("cut", F.pmod(F.xxhash64("fp"), F.coalesce("cuts", F.lit(1))).cast("int"))
-    whole = dealt.filter(F.col("cuts").isNull()).select(*rest, "shard", F.lit(0).alias("side"))
+    whole = dealt.filter(F.col("cuts").isNull()).select(*rest, "block", "shard", F.lit(0).alias("side"))
     # Part x meets part y >= x: x is stored, y searches it.
     met = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least("cut", k).alias("x"), F.greatest("cut", k).alias("y")))
-    parts = dealt.filter(F.col("cuts").isNotNull()).select(*rest, "shard", "cut", F.explode(met).alias("m"))
+    parts = dealt.filter(F.col("cuts").isNotNull()).select(*rest, "block", "shard", "cut", F.explode(met).alias("m"))
     side = F.when(F.col("m.x") == F.col("m.y"), 0).when(F.col("cut") == F.col("m.x"), 1).otherwise(2)
-    parts = parts.select(*rest, F.xxhash64("shard", "m.x", "m.y").alias("shard"), side.alias("side"))
+    parts = parts.select(*rest, "block", F.xxhash64("shard", "m.x", "m.y").alias("shard"), side.alias("side"))
     return cold.unionByName(whole).unionByName(parts)
 
 
