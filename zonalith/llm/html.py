@@ -145,6 +145,7 @@ LABELLED = (
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 0.0, 0), (20, 0.0, 300, 0.0, 0, 0.0, 0, 0.0, 0), (90, 0.1, 90, 0.0, 70, 0.0, 0, 0.0, 0), (1, 0.0, 12, 0.0, 40, 0.0, 0, 0.0, 0),
     (60, 0.0, 8, 0.0, 55, 0.0, 0, 0.5, 1), (45, 0.1, 60, 0.0, 70, 0.0, 0, 0.5, 1), (25, 0.0, 5, 1.0, 60, 0.0, 0, 0.5, 1), (9, 0.0, 5, 0.0, 60, 0.0, 0, 0.5, 1),
     (12, 0.0, 40, 0.0, 3, 1.0, 0, 0.5, 1), (3, 0.0, 60, 0.0, 45, 0.0, 0, 0.5, 1), (18, 0.2, 30, 0.0, 25, 0.0, 0, 0.5, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0.5, 1),
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0.5, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 0.5, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 0.5, 1), (8, 0.0, 0, 0.0, 60, 0.0, 0, 0.5, 1),
     (2, 1.0, 2, 1.0, 3, 1.0, 0, 0.5, 0), (5, 0.9, 60, 0.0, 4, 1.0, 0, 0.5, 0), (12, 0.8, 9, 0.9, 10, 0.9, 0, 0.5, 0), (40, 0.7, 30, 0.8, 60, 0.0, 0, 0.5, 0),
     (3, 0.0, 2, 1.0, 2, 1.0, 0, 0.5, 0), (4, 0.0, 0, 0.0, 2, 1.0, 0, 0.5, 0), (6, 0.5, 2, 1.0, 3, 0.0, 0, 0.5, 0), (1, 1.0, 80, 0.0, 0, 0.0, 0, 0.5, 0),
 )
