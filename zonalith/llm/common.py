@@ -46,6 +46,14 @@ def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it as long as df has such a column."""
+    met = {c.lower() for c in df.columns}
+    while name.lower() in met:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by written()."""
     spark = df.sparkSession

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonalith.llm import hamming
-from zonalith.llm.common import small_batches, text_batches, utf8, written
+from zonalith.llm.common import fresh, small_batches, text_batches, utf8, written
 from zonalith.llm.components import components
 
 
@@ -44,7 +44,7 @@ class _Prints:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
             fps = np.array([fingerprint(t, self.words, self.seed) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], names=["doc_id", "mark", "fp"])
 
 
 class BKTrees:
@@ -93,6 +93,20 @@ def bk_search(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int)
     return stored[node], asked[query]
 
 
+def _grouped(docs: DataFrame, radius: int, words: int, seed: int, most: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), fp, root (a fingerprint that names the group), component_id for each row."""
+    small_batches(docs.sparkSession)
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    prints = written(marked.mapInArrow(_Prints(words, seed), "doc_id long, mark long, fp long"), "prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    found = hamming.links(nodes.select("fp"), bk_search, radius, most)
+    roots = written(components(found), "roots")
+    of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = of.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = of.join(lows, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
 def near_groups(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, most: int = hamming.MOST) -> DataFrame:
     """doc_id, fp long, component_id for docs(doc_id, text): the smallest doc_id reachable by links of at most `radius` bits.
 
@@ -103,15 +117,26 @@ def near_groups(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42
     Trees are built for shards of at most `most` fingerprints (see hamming): whole trees of the corpus would grow with it,
     and neither their broadcast nor a search of each by all would be bounded.
     """
-    small_batches(docs.sparkSession)
-    prints = written(docs.select("doc_id", "text").mapInArrow(_Prints(words, seed), "doc_id long, fp long"), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    found = hamming.links(nodes.select("fp"), bk_search, radius, most)
-    roots = written(components(found), "roots")
-    of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = of.join(lows, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    return _grouped(docs, radius, words, seed, most).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, most: int = hamming.MOST) -> DataFrame:
+    """Of each group of near_groups() one row of docs(doc_id, text, ...), with all columns: the smallest doc_id, nulls last.
+
+    Rows that share a doc_id, or have none, but differ in text are documents of their own: within a group the one with the
+    smallest hash of its text stays, and groups apart each keep one.  Of rows with equal doc_id and text, any one stays.
+    """
+    grouped = _grouped(docs, radius, words, seed, most)
+    keys = [id_, none, mark] = [fresh(docs, c) for c in ("_id", "_none", "_mark")]
+    first = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("mark").alias(mark))
+
+    def keyed(df: DataFrame, *more) -> DataFrame:
+        return df.select("*", F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(none), *more)
+
+    kept = keyed(docs, F.xxhash64("text").alias(mark)).join(keyed(first).select(*keys), keys, "left_semi")
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(id_))
+    at = fresh(docs, "_row")
+    return kept.withColumn(at, row).filter(F.col(at) == 1).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
