@@ -83,10 +83,10 @@ class _Encode:
         self.path, self.end_id, self.cutter = path, end_id, cutter
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(self.path)
+        encode = encoder(self.path, most=250_000)
         width = encode.width
         closing = np.array([self.end_id], width).tobytes()
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, 2 << 20):
             docs = batch.column(0).to_pylist()
             laid = [x + closing for x in encode([t or "" for t in batch.column(1).to_pylist()])]
             ids = np.frombuffer(b"".join(laid), width)

@@ -108,8 +108,8 @@ class Encoder:
         return [self._direct([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts, strict=True)]
 
 
-def encoder(path: str) -> Encoder:
-    """One Encoder for each worker process and file."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+def encoder(path: str, most: int = 400_000) -> Encoder:
+    """One Encoder for each worker process, file and size of its caches."""
+    if (path, most) not in _made:
+        _made[path, most] = Encoder(path, most)
+    return _made[path, most]
