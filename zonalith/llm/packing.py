@@ -24,17 +24,17 @@ class _Pieces:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, cap = encoder(self.path), self.capacity
-        closing = np.array([self.end_id], encode.width).tobytes()
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, 4 << 20):
             rows: list[tuple] = []
-            docs = batch.column(0).to_pylist()
-            for doc, raw in zip(docs, encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids = np.frombuffer(raw + closing, encode.width).astype("<u4")
-                n, at, k = len(ids), 0, 0
+            found, ends = encode.closed(batch.column(1), self.end_id)
+            ids, begin = memoryview(found.astype("<u4")).cast("B"), 0
+            for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                n, at, k = end - begin, 0, 0
                 while at < n:
                     to = at + ((n - at) % cap or cap)  # only the first piece can be short
-                    rows.append((doc, k, at, to - at, zlib.crc32(ids[at:to].tobytes())))
+                    rows.append((doc, k, at, to - at, zlib.crc32(ids[4 * (begin + at) : 4 * (begin + to)])))
                     at, k = to, k + 1
+                begin = end
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

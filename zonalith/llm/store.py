@@ -83,32 +83,30 @@ class _Encode:
         self.path, self.end_id, self.cutter = path, end_id, cutter
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(self.path, most=250_000)
-        width = encode.width
-        closing = np.array([self.end_id], width).tobytes()
-        for batch in text_batches(batches, 2 << 20):
+        encode = encoder(self.path)
+        size = encode.width.itemsize
+        for batch in text_batches(batches, 4 << 20):
             docs = batch.column(0).to_pylist()
-            laid = [x + closing for x in encode([t or "" for t in batch.column(1).to_pylist()])]
-            ids = np.frombuffer(b"".join(laid), width)
-            ends = np.cumsum([len(x) // width.itemsize for x in laid])
+            ids, ends = encode.closed(batch.column(1), self.end_id)
+            laid = ids.tobytes()
             chunks: dict[str, tuple[int, bytes]] = {}
-            roots, lists, afters, begin = [], [], [], 0
-            for doc, cuts, end in zip(laid, self.cutter.cuts(ids, ends), ends.tolist(), strict=True):
-                own, at = [], 0
+            roots, lists, afters, counts, begin = [], [], [], [], 0
+            for cuts, end in zip(self.cutter.cuts(ids, ends), ends.tolist(), strict=True):
+                own, at = [], begin
                 for c in cuts:
-                    to = (c - begin) * width.itemsize
-                    own.append(d := digest(piece := doc[at:to]))
-                    chunks.setdefault(d, (len(piece) // width.itemsize, piece))
-                    at = to
+                    own.append(d := digest(piece := laid[at * size : c * size]))
+                    chunks.setdefault(d, (c - at, piece))
+                    at = c
                 lists.append(own)
                 afters.append([end - c for c in cuts])
+                counts.append(end - begin)
                 roots.append(hashlib.sha256(",".join(own).encode()).hexdigest())
                 begin = end
             k, n = len(chunks), len(docs)
             none = [None] * k
             yield pa.RecordBatch.from_arrays([
                 pa.array([0] * k + [1] * n, pa.int32()), pa.array([*chunks, *(f"doc{x}" for x in docs)]), pa.array(none + docs, pa.int64()),
-                pa.array([x[0] for x in chunks.values()] + [len(x) // width.itemsize for x in laid], pa.int32()), pa.array([x[1] for x in chunks.values()] + [None] * n, pa.binary()),
+                pa.array([x[0] for x in chunks.values()] + counts, pa.int32()), pa.array([x[1] for x in chunks.values()] + [None] * n, pa.binary()),
                 pa.array(none + roots, pa.string()), pa.array(none + lists, pa.list_(pa.string())), pa.array(none + afters, pa.list_(pa.int64())),
             ], names=["kind", "route", "doc_id", "n", "ids", "doc_root", "digests", "after"])
 
