@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -56,6 +57,18 @@ def ids_of(path, text, end):
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_encoder_of_columns(path):
+    """Nulls, empty and long texts, slices, and columns of either string type."""
+    own = Encoder(path)
+    assert [x.tolist() for x in own.closed(pa.array([], pa.string()), 7)] == [[], []]
+    assert [x.tolist() for x in own.closed(pa.array([None, ""], pa.string()), 7)] == [[7, 7], [1, 2]]
+    found = ["not in the slice", None, "", "a b", " ", " x", "  ", "Hello, World!  It's 3.5%\n", "x" * 100_000, None, "é. É, ñ; Ünï×.", ""]
+    for kind in (pa.string(), pa.large_string()):
+        ids, ends = own.closed(pa.array(found, kind).slice(1), 7)
+        assert [p.tolist() for p in np.split(ids, ends[:-1])] == [ids_of(path, t, 7) for t in found[1:]]
+
+
 def test_store_round_trip(spark, docs, rows, empty):
     store = TokenStore.write(docs, WORD_BPE)
     found = sorted(store.summaries(spark).collect(), key=lambda r: r["start"])
