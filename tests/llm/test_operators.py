@@ -232,6 +232,36 @@ def test_line_dedup_against_brute_force(spark, empty):
     assert linededup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_reaches_edit_similarity(spark):
+    """Against a brute force by edit similarity alone, on lines of few and of many words with some of them changed: no false link, nearly all true ones."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    lines = []
+    for n in [5, 8, 12, 16, 20, 24, 28, 35, 45, 60, 90, 150] * 2:
+        base = [word() for _ in range(n)]
+        lines.append(" ".join(base))
+        for share in (0.05, 0.1, 0.15):
+            lines.append(" ".join(word() if k in rng.sample(range(n), max(1, int(share * n))) else w for k, w in enumerate(base)))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if linededup.similar(lines[i], lines[j], 0.8):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    kept = {r["doc_id"] for r in linededup.line_dedup(docs).collect() if r["n_kept"]}
+    assert kept >= set(label)
+    assert len(lines) - len(kept) >= 0.95 * (len(lines) - len(set(label)))
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows that share a doc_id, or have none, but differ in text lose only copies."""
+    rows = [(None, "u\ndup"), (None, "dup\nunique"), (7, "one alone\nsame here"), (7, "same here\nanother text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter(x for r in linededup.without_copies(docs).collect() for x in r["text"].split("\n") if x)
+    assert left == Counter(["u", "dup", "unique", "one alone", "same here", "another text"])
+
+
 def test_edit_distance():
     assert [linededup.edit_distance(*p) for p in (("kitten", "sitting"), ("", "abc"), ("abc", "abc"), ("abcdef", "azced"))] == [3, 3, 0, 3]
 
