@@ -185,3 +185,20 @@ def test_near_dedup_loses_no_text(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (0, c), (2, None)], key=str)
+
+
+def test_near_dedup_by_shingles(spark):
+    """Against a brute force by the Jaccard similarity of five words."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in (40, 60, 100, 200, 400):
+        base = [f"w{k}" for k in rng.integers(0, 10**6, n)]
+        for edits in (0, 1, n // 100, n // 40, n // 20):
+            own = list(base)
+            for k in rng.integers(0, n, edits):
+                own[k] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(own))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(groups(len(texts), linked))
