@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from zonalith.llm import linededup, mixing, quality, simhash
+from zonalith.llm import linededup, mixing, quality
 
 SMALL = "/root/testdata/sf0.001"
 EXTRA = ["rank", "fp", "_doc", "_mark", "_gone", "_Row"]
@@ -67,9 +67,16 @@ def groups(n, linked):
     return [find(i) for i in range(n)]
 
 
-def near(fp, radius=3):
-    for i in range(len(fp)):
-        yield from ((i, int(j)) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= radius) + i + 1)
+def alike(lines):
+    """All pairs of edit similarity 0.8."""
+    size = np.array([len(x) for x in lines])
+    chars = np.array([np.bincount([ord(c) % 64 for c in x], minlength=64) for x in lines])
+    for i in range(len(lines)):
+        longer = np.maximum(size[i + 1 :], size[i])
+        both = np.minimum(chars[i + 1 :], chars[i]).sum(axis=1)  # an edit takes one common character at most
+        for j in np.flatnonzero(both >= 0.8 * longer - 1e-9) + i + 1:
+            if linededup.similar(lines[i], lines[j], 0.8):
+                yield i, int(j)
 
 
 def without_lines(docs):
@@ -78,8 +85,7 @@ def without_lines(docs):
     for k, (*_, x) in enumerate(lines):
         first.setdefault(x, k)
     kinds = list(first)
-    linked = ((i, j) for i, j in near(linededup.simhashes(kinds)) if linededup.similar(kinds[i].decode(), kinds[j].decode(), 0.8))
-    root = groups(len(kinds), linked)
+    root = groups(len(kinds), alike([x.decode() for x in kinds]))
     kept = {lines[first[kinds[i]]][:3] for i in set(root)}
     out = []
     for d in docs:
@@ -93,8 +99,13 @@ def without_lines(docs):
 
 def one_of_each(docs):
     docs = sorted(docs, key=lambda d: (d["doc_id"] is None, d["doc_id"] or 0))
-    fp = np.array([simhash.fingerprint((d["text"] or "").encode()) for d in docs], np.uint64)
-    return [docs[i] for i in sorted(set(groups(len(docs), near(fp))))]
+    own = []
+    for d in docs:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), d["text"] or "")
+        words = WORD.findall(words)
+        own.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    linked = ((i, j) for i in range(len(docs)) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]) - 1e-9)
+    return [docs[i] for i in sorted(set(groups(len(docs), linked)))]
 
 
 def copies(docs):

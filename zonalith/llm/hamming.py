@@ -36,12 +36,26 @@ def pairs(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> I
         step += 1
 
 
-def first_block(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """The first block in which each pair of fingerprints agrees."""
-    out = np.full(len(a), radius + 1)
-    for i, (at, n) in reversed(list(enumerate(_blocks(64, radius + 1)))):
-        out[(a ^ b) >> np.uint64(at) & np.uint64((1 << n) - 1) == 0] = i
-    return out
+def near(shard: np.ndarray, fp: np.ndarray, block: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all near pairs within shards of rows that agree in the block of that number; sorted by shard, prints are distinct there.
+
+    Shards of more than `most` are cut again by blocks of the other bits.
+    """
+    size = np.diff(np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)]), len(shard)))
+    large = np.repeat(size, size) > most
+    at = np.flatnonzero(~large)
+    found = [(at[:0], at[:0])] + [(at[a], at[b]) for a, b in pairs(shard[at], np.zeros(len(at), np.int8), fp[at], radius)]
+    for k, (low, n) in enumerate(blocks(64, radius + 1)):
+        rows = np.flatnonzero(large & (block == k))
+        other = fp[rows] & np.uint64((1 << low) - 1) | (fp[rows] >> np.uint64(low + n) << np.uint64(low) if low + n < 64 else np.uint64(0))
+        for inner, m in blocks(64 - n, radius + 1) if len(rows) else ():
+            value = other >> np.uint64(inner) & np.uint64((1 << m) - 1)
+            order = np.lexsort((value, shard[rows]))
+            at, value = rows[order], value[order]
+            key = np.cumsum(np.append(True, (value[1:] != value[:-1]) | (shard[at][1:] != shard[at][:-1])))
+            found += [(at[a], at[b]) for a, b in pairs(key, np.zeros(len(at), np.int8), fp[at], radius)]
+    a, b = zip(*found, strict=True)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def by_shards(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
@@ -67,7 +81,7 @@ def by_shards(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _blocks(width: int, n: int) -> list[tuple[int, int]]:
+def blocks(width: int, n: int) -> list[tuple[int, int]]:
     """(lowest bit, bits) of n blocks of `width` bits."""
     edges = [i * width // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
@@ -86,7 +100,7 @@ def _others(column: str, at: int, n: int):
 
 def sharded(prints: DataFrame, radius: int, most: int = MOST) -> DataFrame:
     """prints(fp, ...) copied to shards: shard long (shards may meet under one hash: no harm), block, side (0: stored and searched; 1, 2: stored or searched only)."""
-    blocks = _blocks(64, radius + 1)
+    blocks = blocks(64, radius + 1)
     rest = prints.columns
     first = prints.select("*", F.posexplode(_values("fp", blocks)).alias("i", "v"))
     sizes = first.groupBy("i", "v").agg(F.count("*").alias("n")).filter(F.col("n") > most)
@@ -98,7 +112,7 @@ def sharded(prints: DataFrame, radius: int, most: int = MOST) -> DataFrame:
         other = F.when(F.col("i") == i, _others("fp", at, n)).otherwise(other)
     left = 64 - max(n for _, n in blocks)
     again = dealt.filter(F.col("large").isNotNull()).withColumn("_other", other)
-    again = again.select(*rest, "block", "i", "v", F.posexplode(_values("_other", _blocks(left, radius + 1))).alias("j", "w"))
+    again = again.select(*rest, "block", "i", "v", F.posexplode(_values("_other", blocks(left, radius + 1))).alias("j", "w"))
     key = F.xxhash64("i", "v", "j", "w")
     again = again.select(*rest, "block", key.alias("shard"))
     sizes = again.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most)
