@@ -36,6 +36,20 @@ def pairs(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> I
         step += 1
 
 
+def waves(found: Iterator[tuple[np.ndarray, np.ndarray]], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What pairs() yields for `rows` rows, in few and large portions: as many as rows, or a wave of doubled length."""
+    a, b, n, steps, most = [], [], 0, 0, 1
+    for x, y in found:
+        a.append(x)
+        b.append(y)
+        n, steps = n + len(x), steps + 1
+        if n >= rows or steps >= most:
+            yield np.concatenate(a), np.concatenate(b)
+            a, b, n, steps, most = [], [], 0, 0, 2 * most
+    if a:
+        yield np.concatenate(a), np.concatenate(b)
+
+
 def near(shard: np.ndarray, fp: np.ndarray, block: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all near pairs within shards of rows that agree in the block of that number; sorted by shard, prints are distinct there.
 
