@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from zonalith.operators import reduce as r
 from zonalith.operators import tree as tr
 from zonalith.operators.resample import Resampler, apply_matrix, matrix, resample
 from zonalith.operators.stencil import Stencil, coverage, empty_keys
-from zonalith.plans.store import OperatorStore, digest
+from zonalith.plans.store import OperatorStore, shared_dir, stencil_digest
 from zonalith.sources import fields, polygons
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,7 +215,7 @@ def stencil_row_sums(spark: SparkSession, d: str) -> DataFrame:
     return Stencil.build(_triangles(spark, d), GRID).row_sums().withColumn("row_sum", F.round(F.col("row_sum") / 1e12, 9))
 
 
-@query("SELECT 'far' AS geom_key")
+@query(f"WITH {_TRI}, e2 AS (SELECT * FROM edge UNION ALL SELECT 'far', 100 + a, 100 + b, 100 + c, 100 + d FROM (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)) t(a, b, c, d)) SELECT geom_key FROM e2 GROUP BY geom_key HAVING max(greatest(xa, xb)) <= -5 OR min(least(xa, xb)) >= 75 OR max(greatest(ya, yb)) <= -45 OR min(least(ya, yb)) >= 35")
 def empty_overlap_keys(spark: SparkSession, d: str) -> DataFrame:
     far = spark.createDataFrame([("far", 100.0, 100.0, 101.0, 101.0)], "geom_key string, xmin double, ymin double, xmax double, ymax double")
     edges = _triangles(spark, d).unionByName(polygons.edges_of(polygons.boxes(far)))
@@ -269,9 +268,29 @@ def reduce_all_nan(spark: SparkSession, d: str) -> DataFrame:
 
 def _weighted(spark: SparkSession, d: str, gaps: bool) -> DataFrame:
     cell = _read(spark, d, "part").groupBy((F.col("p_partkey") % 64).alias("cell")).agg(F.sum("p_retailprice").alias("u"))
-    cell = cell.select("cell", (F.when(F.col("cell") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("u")) if gaps else F.col("u")).alias("u"))
-    field = _field(spark, d).join(F.broadcast(cell), F.col("lat_idx") * 8 + F.col("lon_idx") == F.col("cell"))  # 64 rows
-    return _reduced(field, spark, d, weight="u")
+    u = F.when(F.col("cell") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("u")) if gaps else F.col("u")
+    by_cell = cell.select(F.floor(F.col("cell") / 8).cast("int").alias("lat_idx"), (F.col("cell") % 8).cast("int").alias("lon_idx"), u.alias("u"))
+    return _reduced(_field(spark, d), spark, d, weight="u", weights=by_cell)
+
+
+@query(f"WITH {_EMB}, {_TRI}, {_cover()}, el AS (SELECT *, -40 + 10 * lat_idx + 50 AS u FROM emb) {_zonal('el', extra=' * u')}")
+def reduce_weighted_by_latitude(spark: SparkSession, d: str) -> DataFrame:
+    """A coordinate of the grid as weight (raised above 0), spread over longitudes and slices."""
+    field = r.with_weight(_field(spark, d), "latitude", grid=GRID).withColumn("latitude", F.col("latitude") + 50)
+    return _reduced(field, spark, d, weight="latitude")
+
+
+@query(f"WITH {_EMB}, {_TRI}, {_cover()}, el AS (SELECT *, 1 + label AS u FROM emb) {_zonal('el', extra=' * u', how='sum')}")
+def reduce_weighted_sum_by_slice(spark: SparkSession, d: str) -> DataFrame:
+    """A weight that lacks both dimensions of the grid."""
+    by_label = _read(spark, d, "embeddings").select("label").distinct().withColumn("u", (1 + F.col("label")).cast("double"))
+    return _reduced(_field(spark, d), spark, d, weight="u", weights=by_label, how="sum")
+
+
+@query(f"WITH {_EMB}, {_TRI}, {_cover()} SELECT vec_id, label, nation, v FROM ({_zonal('emb').replace('geom_key, round', 'geom_key AS nation, round')})")
+def reduce_named_dims(spark: SparkSession, d: str) -> DataFrame:
+    field = _field(spark, d).withColumnsRenamed({"lat_idx": "row", "lon_idx": "col"})
+    return r.reduce_with_stencil(field, Stencil.build(_triangles(spark, d), GRID), BATCH, ["v"], dims=("row", "col", "nation")).select(*BATCH, "nation", _num("v"))
 
 
 _U = "u AS (SELECT (p_partkey % 64) AS cell, sum(p_retailprice) AS u FROM part GROUP BY 1), eu AS (SELECT emb.*, u{gap} AS u FROM emb JOIN u ON lat_idx * 8 + lon_idx = cell)"
@@ -315,23 +334,26 @@ def reduce_sparse_lineitem(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resampled(step: float, n: int, iterations: int = 1, field: str = "emb") -> str:
-    """rs(vec_id, label, lat_idx, lon_idx, v): the stages written out."""
-    k = "vec_id, label"
+    """rs(vec_id, label, lat_idx, lon_idx, v): the stages written out, cells under one number c (vec_id tells slices apart)."""
 
     def b(x: str) -> str:
-        return f"SELECT {k}, a.t AS lat_idx, c.t AS lon_idx, sum(v * a.w * c.w) AS v FROM {x} JOIN fb a ON a.s = lat_idx JOIN fb c ON c.s = lon_idx GROUP BY {k}, a.t, c.t"
+        return f"SELECT vec_id, o AS c, sum(v * w) AS v FROM {x} JOIN f2b USING (c) GROUP BY vec_id, o"
 
     def mean(x: str) -> str:
-        return f"SELECT {k}, a.s AS lat_idx, c.s AS lon_idx, avg(v) AS v FROM {x} JOIN fp a ON a.t = lat_idx JOIN fp c ON c.t = lon_idx GROUP BY {k}, a.s, c.s"
+        return f"SELECT vec_id, s AS c, avg(v) AS v FROM {x} JOIN f2p USING (c) GROUP BY vec_id, s"
 
-    out = [_factors(step, n), f"t0 AS MATERIALIZED ({b(field)})", "y0s AS (SELECT * FROM t0)"]
+    out = [_factors(step, n)]
+    out += [f"f2b AS MATERIALIZED (SELECT (a.s * 8 + b.s)::INT AS c, (a.t * {n} + b.t)::INT AS o, a.w * b.w AS w FROM fb a, fb b)"]
+    out += [f"f2p AS MATERIALIZED (SELECT (a.t * {n} + b.t)::INT AS c, (a.s * 8 + b.s)::INT AS s FROM fp a, fp b)"]
+    out += [f"x AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, (lat_idx * 8 + lon_idx)::INT AS c, any_value(v) AS v FROM {field} GROUP BY vec_id, lat_idx, lon_idx)", f"t0 AS MATERIALIZED ({b('x')})", "y0 AS (SELECT * FROM t0)"]
     for i in range(1, iterations):
-        out += [f"m{i} AS ({mean(f't{i - 1}')})", f"g{i} AS ({b(f'm{i}')})"]
-        out += [f"t{i} AS MATERIALIZED (SELECT {k}, lat_idx, lon_idx, t{i - 1}.v - g{i}.v AS v FROM t{i - 1} JOIN g{i} USING ({k}, lat_idx, lon_idx))"]
-        out += [f"y{i}s AS MATERIALIZED (SELECT {k}, lat_idx, lon_idx, y{i - 1}s.v + t{i}.v AS v FROM y{i - 1}s JOIN t{i} USING ({k}, lat_idx, lon_idx))"]
-    y = f"y{iterations - 1}s"
-    out += [f"ay AS ({mean(y)})", f"rest AS (SELECT e.vec_id, e.label, e.lat_idx, e.lon_idx, e.v - coalesce(ay.v, 0) AS v FROM {field} e LEFT JOIN ay USING ({k}, lat_idx, lon_idx))"]
-    out += [f"rs AS (SELECT y.vec_id, y.label, y.lat_idx, y.lon_idx, y.v + rest.v AS v FROM {y} y JOIN fp a ON a.t = y.lat_idx JOIN fp c ON c.t = y.lon_idx JOIN rest ON rest.vec_id = y.vec_id AND rest.lat_idx = a.s AND rest.lon_idx = c.s)"]
+        out += [f"m{i} AS MATERIALIZED ({mean(f't{i - 1}')})", f"g{i} AS MATERIALIZED ({b(f'm{i}')})"]
+        out += [f"t{i} AS MATERIALIZED (SELECT vec_id, c, sum(v) AS v FROM (FROM t{i - 1} UNION ALL SELECT vec_id, c, -v FROM g{i}) GROUP BY vec_id, c)"]
+        out += [f"y{i} AS MATERIALIZED (SELECT vec_id, c, sum(v) AS v FROM (FROM y{i - 1} UNION ALL FROM t{i}) GROUP BY vec_id, c)"]
+    y = f"y{iterations - 1}"
+    out += [f"ay AS MATERIALIZED ({mean(y)})", "rest AS MATERIALIZED (SELECT vec_id, c, sum(v) AS v FROM (SELECT vec_id, c, v FROM x UNION ALL SELECT vec_id, c, -v FROM ay) GROUP BY vec_id, c)"]
+    out += ["back AS MATERIALIZED (SELECT vec_id, f2p.c, v FROM rest JOIN f2p ON f2p.s = rest.c)"]
+    out += [f"rs AS MATERIALIZED (SELECT r.vec_id, l.label, (r.c // {n})::INT AS lat_idx, (r.c % {n})::INT AS lon_idx, r.v FROM (SELECT vec_id, c, sum(v) AS v FROM (FROM {y} UNION ALL FROM back) GROUP BY vec_id, c) r JOIN (SELECT DISTINCT vec_id, label FROM x) l USING (vec_id))"]
     return ", ".join(out)
 
 
@@ -369,10 +391,56 @@ def reduce_refined_two_step(spark: SparkSession, d: str) -> DataFrame:
     return r.reduce_field(_field(spark, d), _triangles(spark, d), GRID, BATCH, ["v"], resolution=5).select(*BATCH, "geom_key", _num("v"))
 
 
+def _store(spark: SparkSession) -> OperatorStore:
+    return OperatorStore(spark, f"{shared_dir(spark)}/operators")
+
+
 @query(f"WITH {_EMB}, {_resampled(5, 15, 2)}, {_TRI}, {_cover(5, 15)} {_zonal('rs')}")
 def reduce_refined_fused(spark: SparkSession, d: str) -> DataFrame:
-    fine = Stencil.build(_triangles(spark, d), GRID.refined(5))
-    return r.reduce_with_operator(_field(spark, d), r.operator(fine, GRID, 2), fine.row_sums(), BATCH, ["v"]).select(*BATCH, "geom_key", _num("v"))
+    """Stencil and operator are built once and read from the store from then on."""
+    store, edges, fine = _store(spark), _triangles(spark, d), GRID.refined(5)
+    stencil = store.stencil(fine, edges)
+    op = store.operator(stencil, stencil_digest(fine, edges), GRID, 2)
+    return r.reduce_with_operator(_field(spark, d), op, stencil.row_sums(), BATCH, ["v"], grid=GRID, source=GRID).select(*BATCH, "geom_key", _num("v"))
+
+
+def _gap(spark: SparkSession, d: str) -> DataFrame:
+    """A null cell in every tenth slice, and a missing one in every tenth other."""
+    cell = F.col("lat_idx") * 8 + F.col("lon_idx")
+    field = _field(spark, d).filter(~((F.col("vec_id") % 10 == 5) & (cell == 27)))
+    return field.withColumn("v", F.when(~((F.col("vec_id") % 10 == 0) & (cell == 9)), F.col("v")))
+
+
+_GAP = "emb_g AS (SELECT vec_id, label, lat_idx, lon_idx, CASE WHEN (vec_id % 10 = 0 AND lat_idx * 8 + lon_idx = 9) OR (vec_id % 10 = 5 AND lat_idx * 8 + lon_idx = 27) THEN NULL ELSE v END AS v FROM emb)"
+
+
+@query(f"WITH {_EMB}, {_GAP}, {_TRI}, {_cover()} SELECT vec_id, label, geom_key, CASE WHEN count(v) = count(*) THEN round(sum(w * v) / sum(w), 6) + 0.0::DOUBLE END AS v FROM emb_g JOIN w USING (lat_idx, lon_idx) GROUP BY vec_id, label, geom_key")
+def operator_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """A polygon with a null or missing cell has no value under an operator."""
+    stencil = Stencil.build(_triangles(spark, d), GRID)
+    return r.reduce_with_operator(_gap(spark, d), r.operator(stencil, GRID), stencil.row_sums(), BATCH, ["v"], grid=GRID, source=GRID).select(*BATCH, "geom_key", _num("v"))
+
+
+_NAN_GAP = "emb_n AS (SELECT vec_id, label, lat_idx, lon_idx, coalesce(v, 'NaN'::DOUBLE) AS v FROM emb_g)"
+
+
+@query(f"WITH {_EMB}, {_GAP}, {_NAN_GAP}, {_resampled(5, 15, field='emb_n')} SELECT vec_id, label, lat_idx, lon_idx, CASE WHEN NOT isnan(v) THEN round(v, 6) + 0.0::DOUBLE END AS v FROM rs")
+def matrix_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    rs = Resampler(GRID, GRID.refined(5))
+    return apply_matrix(_gap(spark, d), _store(spark).resampler(rs), rs, GRID, BATCH, ["v"]).select(*BATCH, "lat_idx", "lon_idx", _num("v"))
+
+
+@query(f"WITH {_EMB}, {_resampled(5, 15)} SELECT vec_id AS t, label AS w, lat_idx, lon_idx, round(v, 6) + 0.0::DOUBLE AS s FROM rs")
+def resample_clashing_names(spark: SparkSession, d: str) -> DataFrame:
+    """Batch and value columns named as factors might be."""
+    field = _field(spark, d).withColumnsRenamed({"vec_id": "t", "label": "w", "v": "s"})
+    return resample(field, Resampler(GRID, GRID.refined(5)), ["t", "w"], ["s"]).select("t", "w", "lat_idx", "lon_idx", _num("s"))
+
+
+@query(f"WITH {_EMB}, {_resampled(5, 15, 2)}, {_TRI}, {_cover(5, 15)} {_zonal('rs')}")
+def reduce_stencil_other_grid(spark: SparkSession, d: str) -> DataFrame:
+    """A stencil on a finer grid than the field's, from the store."""
+    return r.reduce_with_stencil(_field(spark, d), _store(spark).stencil(GRID.refined(5), _triangles(spark, d)), BATCH, ["v"], grid=GRID, iterations=2).select(*BATCH, "geom_key", _num("v"))
 
 
 @query(f"WITH {_EMB}, emb_n AS (SELECT vec_id, label, lat_idx, lon_idx, CASE WHEN (lat_idx * 8 + lon_idx + vec_id) % 10 < 3 THEN 'NaN'::DOUBLE ELSE v END AS v FROM emb), {_resampled(5, 15, field='emb_n')}, rn AS (SELECT vec_id, label, lat_idx, lon_idx, CASE WHEN NOT isnan(v) THEN v END AS v FROM rs), {_TRI}, {_cover(5, 15)} {_zonal('rn')}")
@@ -441,11 +509,29 @@ def leaf_missing_check(spark: SparkSession, d: str) -> DataFrame:
     return tr.missing_leaves(_leaves(spark, d).filter("n_regionkey <> 1"), tr.Tree.build(_tree_edges(spark, d)))
 
 
-@query("SELECT n_name || '/' || c_mktsegment AS child, n_name AS parent FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(f"WITH {_LEAVES}, t AS (SELECT segment, geom_key AS nation, v FROM lv UNION ALL SELECT segment, 'ALL', avg(v) FROM lv GROUP BY segment) SELECT segment, nation, round(v, 6) AS v FROM t")
+def rollup_two_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of two levels, (segment, nation) below (segment, 'ALL'), rolled up in one call."""
+    own = F.struct(F.col("segment").alias("a"), F.col("geom_key").alias("b"))
+    leaves = _leaves(spark, d).select(own.alias("key"), "v")
+    edges = leaves.select(F.col("key").alias("child"), F.struct(F.col("key.a").alias("a"), F.lit("ALL").alias("b")).alias("parent"))
+    return tr.levels(tr.roll_up(leaves, edges, [], ["v"], weighted=False, key="key"), "key", ["segment", "nation"]).select("segment", "nation", _num("v"))
+
+
+@query(f"WITH {_LEAVES}, n AS (SELECT * FROM lv JOIN region ON n_regionkey = r_regionkey), per AS (SELECT r_name, geom_key, avg(v) AS v FROM n GROUP BY ALL) SELECT r_name || '/' || geom_key || '/' || segment AS node, round(v, 6) AS v FROM n UNION ALL SELECT r_name || '/' || geom_key, round(v, 6) FROM per UNION ALL SELECT r_name, round(avg(v), 6) FROM per GROUP BY r_name")
 def region_style_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    n = _read(spark, d, "nation").join(_read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    low = _read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "n_name", "c_mktsegment").alias("child"), F.col("n_name").alias("parent"))
-    return low.unionByName(n.select("n_name", "r_name").toDF("child", "parent")).distinct()
+    """Keys with a level less at every step up."""
+    regions = _read(spark, d, "region").select("r_regionkey", "r_name")
+    leaves = _leaves(spark, d).join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey")).select(F.array("r_name", "geom_key", "segment").alias("key"), "v")  # five regions
+    up = lambda c: F.slice(c, 1, F.size(c) - 1)
+    low = leaves.select(F.col("key").alias("child"), up(F.col("key")).alias("parent"))
+    edges = low.unionByName(low.select(F.col("parent").alias("child"), up(F.col("parent")).alias("parent")).distinct())
+    return tr.roll_up(leaves, edges, [], ["v"], weighted=False, key="key").select(F.array_join("key", "/").alias("node"), _num("v"))
+
+
+@query(f"WITH {_tree('mean')}, o AS (SELECT node, max(depth) AS depth FROM t GROUP BY node) SELECT node, depth::INT AS depth, (row_number() OVER (ORDER BY depth, node) - 1)::BIGINT AS position FROM o")
+def tree_node_order(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark).tree(_tree_edges(spark, d)).nodes()
 
 
 # --- the rest ---
@@ -467,9 +553,15 @@ def field_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TRI}, {_cover()} SELECT geom_key, (lat_idx * 8 + lon_idx)::BIGINT AS cell_id, round(w / 1e12, 9) AS weight FROM w")
 def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A stencil built once, and read from the store the second time."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="zonalith-")
-    store, edges = OperatorStore(spark, f"{root}/operators"), _triangles(spark, d)
-    key = digest("stencil", GRID.lats, GRID.lons, True, edges)
-    store.get_or_build("stencil", key, lambda: Stencil.build(edges, GRID).weights)
-    again = store.get_or_build("stencil", key, lambda: spark.createDataFrame([], "geom_key string"))
+    store, edges = _store(spark), _triangles(spark, d)
+    store.stencil(GRID, edges, force=True)
+    again = store.get_or_build("stencil", stencil_digest(GRID, edges), lambda: spark.createDataFrame([], "geom_key string"))
     return again.select("geom_key", "cell_id", F.round(F.col("weight") / 1e12, 9).alias("weight"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS v FROM events WHERE event_type IN ('click', 'view') AND user_id % 3 = 0 GROUP BY event_type")
+def messages_selected(spark: SparkSession, d: str) -> DataFrame:
+    """Messages by the values of their index: those of two types, of every third user."""
+    e = _read(spark, d, "events")
+    found = fields.selected(e.withColumn("third", F.col("user_id") % 3), event_type=["click", "view"], third=0)
+    return found.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("v"))

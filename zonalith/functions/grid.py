@@ -111,9 +111,9 @@ def cell_area(lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column) ->
 def areas(spark: SparkSession, grid: Grid, spherical: bool = True) -> DataFrame:
     """lat_idx, lon_idx, cell_id, area; 1 for each cell of a plane."""
     lat = axis_frame(spark, grid.lats).select(F.col("idx").alias("lat_idx"), F.col("lo").alias("y0"), F.col("hi").alias("y1"))
-    lon = midpoint_edges(grid.lons)
-    cells = lat.select("*", F.posexplode(F.arrays_zip(F.array(*map(F.lit, lon[:-1])).alias("x0"), F.array(*map(F.lit, lon[1:])).alias("x1"))).alias("lon_idx", "x"))
-    area = cell_area(F.col("y0"), F.col("y1"), F.col("x.x0"), F.col("x.x1")) if spherical else F.lit(1.0)
+    lon = axis_frame(spark, grid.lons).select(F.col("idx").alias("lon_idx"), F.col("lo").alias("x0"), F.col("hi").alias("x1"))
+    cells = lat.withColumn("lon_idx", F.explode(F.sequence(F.lit(0), F.lit(len(grid.lons) - 1)))).join(F.broadcast(lon), "lon_idx")  # an axis
+    area = cell_area(F.col("y0"), F.col("y1"), F.col("x0"), F.col("x1")) if spherical else F.lit(1.0)
     return cells.select("lat_idx", "lon_idx", (F.col("lat_idx").cast("long") * len(grid.lons) + F.col("lon_idx")).alias("cell_id"), area.alias("area"))
 
 

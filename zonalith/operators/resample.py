@@ -1,18 +1,60 @@
-"""Mean-preserving resampling between grids, as joins with small factors of each axis.
+"""Mean-preserving resampling between grids.
 
 B interpolates, A averages the targets whose nearest source a cell is, P hands a source's value to its targets.  One
-iteration gives B x corrected by P (x - A B x); further ones first repeat the smooth correction.
+iteration gives B x corrected by P (x - A B x); further ones first repeat the smooth correction.  Each of the three is a
+product of a factor along latitudes and one along longitudes, so a slice is resampled as one array, and the whole operator
+is a short sum of such products, whatever the number of iterations.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
+from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonalith.functions.grid import Grid, bilinear, nearest
 
+#: Cells of a slice, on either grid, up to which it is resampled as one array in a task (a value takes 8 bytes in each);
+#: larger ones by joins with the operator's rows.
+MOST_CELLS = 1 << 24
+#: Rows of a factor: by target, (source, weight), zero weights included: they let a NaN through as a dense product would.
+Factor = list[dict[int, float]]
+
+
+def _product(a: Factor, b: Factor) -> Factor:
+    out: Factor = []
+    for row in a:
+        new: dict[int, float] = {}
+        for k, w in row.items():
+            for c, v in b[k].items():
+                new[c] = new.get(c, 0.0) + w * v
+        out.append(new)
+    return out
+
+
+class _Sum:
+    """A factor applied along the first axis of arrays."""
+
+    def __init__(self, factor: Factor):
+        self.rows = len(factor)
+        self.own = np.array([t for t, row in enumerate(factor) if row], np.int64)
+        sizes = [len(row) for row in factor if row]
+        self.first = np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0, np.int64)
+        self.source = np.array([s for row in factor for s in row], np.int64)
+        self.weight = np.array([w for row in factor for w in row.values()], np.float64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.rows, *x.shape[1:]))
+        if len(self.own):
+            out[self.own] = np.add.reduceat(self.weight.reshape(-1, *[1] * (x.ndim - 1)) * x[self.source], self.first, axis=0)
+        return out
+
 
 @dataclass(frozen=True)
 class Resampler:
@@ -24,98 +66,132 @@ class Resampler:
         if self.iterations < 1:
             raise ValueError("iterations must be at least 1")
 
-    def factors(self, spark: SparkSession) -> dict[str, dict[str, DataFrame]]:
-        """By kind and axis, (t, s, w): rows are bounded by the axes, zero weights included."""
-        out: dict[str, dict[str, DataFrame]] = {"B": {}, "A": {}, "P": {}}
-        for axis, s, t in (("lat_idx", self.source.lats, self.target.lats), ("lon_idx", self.source.lons, self.target.lons)):
+    @cached_property
+    def factors(self) -> tuple[dict[str, Factor], dict[str, Factor]]:
+        """B, A and P along latitudes and along longitudes; rows are bounded by the axes."""
+        out = []
+        for s, t in ((self.source.lats, self.target.lats), (self.source.lons, self.target.lons)):
             parent = nearest(s, t)
-            n = dict.fromkeys(range(len(s)), 0)
-            for _, i in parent:
-                n[i] += 1
-            rows = {"B": bilinear(s, t), "P": [(i, j, 1.0) for i, j in parent], "A": [(j, i, 1.0 / n[j]) for i, j in parent]}
-            for kind, own in rows.items():
-                out[kind][axis] = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in own], "t int, s int, w double")
+            b: Factor = [{} for _ in t]
+            for i, j, w in bilinear(s, t):
+                b[i][j] = b[i].get(j, 0.0) + w
+            a: Factor = [{} for _ in s]
+            for i, j in parent:
+                a[j][i] = 1.0
+            out.append({"B": b, "A": [dict.fromkeys(row, 1.0 / len(row)) if row else {} for row in a], "P": [{j: 1.0} for _, j in parent]})
+        return out[0], out[1]
+
+    def terms(self) -> list[tuple[float, Factor, Factor]]:
+        """(c, lat, lon): the operator is the sum of c * (lat x lon).
+
+        With n iterations it is P + (I - P A) sum over k of (-1)^k C(n, k + 1) (B A)^k B, as the sum of the powers of
+        I - B A gives by the binomial theorem.
+        """
+        axes, n = self.factors, self.iterations
+        out = [(1.0, axes[0]["P"], axes[1]["P"])]
+        power = [f["B"] for f in axes]
+        for k in range(n):
+            c = float((-1) ** k * comb(n, k + 1))
+            down = [_product(f["A"], p) for f, p in zip(axes, power, strict=True)]
+            out += [(c, power[0], power[1]), (-c, *[_product(f["P"], d) for f, d in zip(axes, down, strict=True)])]
+            power = [_product(f["B"], d) for f, d in zip(axes, down, strict=True)]
         return out
 
+    def side(self, spark: SparkSession, axis: int) -> DataFrame:
+        """(_z_t, _z_term, _z_s, _z_w) of one axis; coefficients go with latitudes.  No longer than an axis times the terms and their widths."""
+        rows = [(t, k, s, w * (term[0] if axis == 0 else 1.0)) for k, term in enumerate(self.terms()) for t, row in enumerate(term[1 + axis]) for s, w in row.items()]
+        return spark.createDataFrame(rows, "_z_t int, _z_term int, _z_s int, _z_w double")
 
-def _through(field: DataFrame, factor: dict[str, DataFrame], batch: list[str], values: list[str]) -> DataFrame:
-    """Sums of w * value over each axis in turn; a NaN spreads to whatever it touches, with weight 0 too."""
-    for axis in ("lon_idx", "lat_idx"):
-        other = "lat_idx" if axis == "lon_idx" else "lon_idx"
-        met = field.join(F.broadcast(factor[axis]), F.col(axis) == F.col("s"))  # no longer than an axis
-        field = met.groupBy(*batch, other, F.col("t").alias(axis)).agg(*[F.sum(F.col("w") * F.coalesce(F.col(v), F.lit(float("nan")))).alias(v) for v in values])
-    return field
 
+class _Slice:
+    """One slice, as an array, through all stages."""
 
-def _minus(a: DataFrame, b: DataFrame, batch: list[str], values: list[str], sign: int = -1) -> DataFrame:
-    """a + sign * b, cells without a partner in b unchanged."""
-    keys = [*batch, "lat_idx", "lon_idx"]
-    right = b.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(v).alias(f"_v_{v}") for v in values])
-    on = None
-    for k in keys:
-        same = a[k].eqNullSafe(right[f"_{k}"]) if k in batch else a[k] == right[f"_{k}"]
-        on = same if on is None else on & same
-    return a.join(right, on, "left").select(*keys, *[(F.col(v) + sign * F.coalesce(F.col(f"_v_{v}"), F.lit(0.0))).alias(v) for v in values])
+    def __init__(self, resampler: Resampler, batch: int, values: int, schema: list[str]):
+        self.r, self.batch, self.values, self.schema = resampler, batch, values, schema
 
+    def __call__(self, cells: pa.Table) -> pa.Table:
+        r = self.r
+        sums = [{k: _Sum(f) for k, f in axis.items()} for axis in r.factors]
 
-def resample(field: DataFrame, resampler: Resampler, batch: list[str], values: list[str]) -> DataFrame:
-    """field(batch, lat_idx, lon_idx, values) on the target grid.  A null value counts as NaN; the field must be dense.
+        def through(kind: str, x: np.ndarray) -> np.ndarray:
+            return sums[0][kind](sums[1][kind](x.T).T)
 
-    Cells are keyed by ascending index, so the direction in which latitudes were given does not matter.
-    """
-    f = resampler.factors(field.sparkSession)
-    x = field.select(*batch, "lat_idx", "lon_idx", *[F.col(v).cast("double").alias(v) for v in values])
-    y = term = _through(x, f["B"], batch, values)
-    for _ in range(1, resampler.iterations):
-        term = _minus(term, _through(_through(term, f["A"], batch, values), f["B"], batch, values), batch, values)
-        y = _minus(y, term, batch, values, 1)
-    rest = _minus(x, _through(y, f["A"], batch, values), batch, values)
-    return _minus(y, _through(rest, f["P"], batch, values), batch, values, 1)
+        at = tuple(cells.column(self.batch + k).to_numpy() for k in (0, 1))
+        shape = (len(r.source.lats), len(r.source.lons))
+        inside = (at[0] >= 0) & (at[0] < shape[0]) & (at[1] >= 0) & (at[1] < shape[1])
+        out = []
+        for k in range(self.values):
+            x = np.full(shape, np.nan)
+            own = cells.column(self.batch + 2 + k).to_numpy()
+            x[at[0][inside], at[1][inside]] = np.array(own, np.float64)[inside]
+            y = term = through("B", x)
+            for _ in range(1, r.iterations):
+                term = term - through("B", through("A", term))
+                y = y + term
+            out.append((y + through("P", x - through("A", y))).reshape(-1))
+        n_lat, n_lon = len(r.target.lats), len(r.target.lons)
+        keys = [cells.column(k).slice(0, 1).take(pa.array(np.zeros(n_lat * n_lon, np.int64))) for k in range(self.batch)]
+        lat, lon = np.divmod(np.arange(n_lat * n_lon, dtype=np.int32), np.int32(n_lon))
+        return pa.Table.from_arrays([*keys, pa.array(lat), pa.array(lon), *map(pa.array, out)], names=self.schema)
 
 
-def _times(left: DataFrame, factor: dict[str, DataFrame], key: str) -> DataFrame:
-    """left(key, lat_idx, lon_idx, weight) times a factor: columns of left meet the factor's rows."""
-    for axis in ("lat_idx", "lon_idx"):
-        other = "lon_idx" if axis == "lat_idx" else "lat_idx"
-        met = left.join(F.broadcast(factor[axis]), F.col(axis) == F.col("t"))
-        left = met.groupBy(key, other, F.col("s").alias(axis)).agg(F.sum(F.col("weight") * F.col("w")).alias("weight"))
-    return left.select(key, "lat_idx", "lon_idx", "weight")
+def resample(field: DataFrame, resampler: Resampler, batch: list[str], values: list[str]) -> DataFrame:
+    """field(batch, lat_idx, lon_idx, values) on the target grid, every cell of it for each slice.
+
+    A value that is null, NaN or missing spreads to all cells that a dense product would touch.  Of rows that repeat a cell,
+    any one counts.  Cells are keyed by ascending index, so the direction in which latitudes were given does not matter.  A
+    slice up to MOST_CELLS is one array in one task: one shuffle for any number of iterations; larger ones are joined.
+    """
+    if max(len(g.lats) * len(g.lons) for g in (resampler.source, resampler.target)) > MOST_CELLS:
+        return apply_matrix(field, matrix(field.sparkSession, resampler), resampler, resampler.source, batch, values)
+    x = field.select(*batch, F.col("lat_idx").cast("int"), F.col("lon_idx").cast("int"), *[F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in values])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in x.schema])
+    run = _Slice(resampler, len(batch), len(values), x.columns)
 
+    def whole(cells: pa.Table) -> pa.Table:
+        return run(cells)
 
-def _plus(a: DataFrame, b: DataFrame, key: str, sign: int = 1) -> DataFrame:
-    both = a.unionByName(b.withColumn("weight", sign * F.col("weight")))
-    return both.groupBy(key, "lat_idx", "lon_idx").agg(F.sum("weight").alias("weight"))
+    return x.groupBy(*batch).applyInArrow(whole, schema)
 
 
-def fused(weights: DataFrame, resampler: Resampler, key: str = "geom_key") -> DataFrame:
+def fused(weights: DataFrame, resampler: Resampler, key: str = "geom_key", zeros: bool = False) -> DataFrame:
     """(key, lat_idx, lon_idx, cell_id, weight) on the source grid: weights on the target grid after resampling.
 
-    With G = I - B A it is W P + (W - W P A)(I + G + ...) B, worked from the left: the resampling itself is never built.
+    Two joins with factors of an axis and two sums, whatever the number of iterations; the resampling is never built.
+    With `zeros` cells that weigh nothing stay, as they let a NaN through.
     """
-    f = resampler.factors(weights.sparkSession)
-    w = weights.select(key, "lat_idx", "lon_idx", "weight")
-    wp = _times(w, f["P"], key)
-    term = total = _plus(w, _times(wp, f["A"], key), key, -1)
-    for _ in range(1, resampler.iterations):
-        term = _plus(term, _times(_times(term, f["B"], key), f["A"], key), key, -1)
-        total = _plus(total, term, key)
-    out = _plus(wp, _times(total, f["B"], key), key).filter(F.col("weight") != 0)
+    spark = weights.sparkSession
+    w = weights.select(F.col(key).alias("_z_key"), F.col("lat_idx").alias("_z_y"), F.col("lon_idx").alias("_z_x"), "weight")
+    met = w.join(F.broadcast(resampler.side(spark, 0)), F.col("_z_y") == F.col("_z_t"))
+    half = met.groupBy("_z_key", F.col("_z_term").alias("_z_k"), F.col("_z_s").alias("lat_idx"), "_z_x").agg(F.sum(F.col("weight") * F.col("_z_w")).alias("_z_v"))
+    met = half.join(F.broadcast(resampler.side(spark, 1)), (F.col("_z_x") == F.col("_z_t")) & (F.col("_z_k") == F.col("_z_term")))
+    out = met.groupBy(F.col("_z_key").alias(key), "lat_idx", F.col("_z_s").alias("lon_idx")).agg(F.sum(F.col("_z_v") * F.col("_z_w")).alias("weight"))
     n = len(resampler.source.lons)
+    out = out if zeros else out.filter(F.col("weight") != 0)
     return out.select(key, "lat_idx", "lon_idx", (F.col("lat_idx").cast("long") * n + F.col("lon_idx")).alias("cell_id"), "weight")
 
 
 def matrix(spark: SparkSession, resampler: Resampler) -> DataFrame:
-    """The whole resampling as (target_cell, lat_idx, lon_idx, cell_id, weight), for inspection and reuse on many fields."""
+    """The whole resampling as (target_cell, lat_idx, lon_idx, cell_id, weight), for inspection and reuse on many fields; zero weights included."""
     n = len(resampler.target.lons)
     cells = spark.range(len(resampler.target.lats) * n).select(F.col("id").alias("target_cell"), F.floor(F.col("id") / n).cast("int").alias("lat_idx"), (F.col("id") % n).cast("int").alias("lon_idx"), F.lit(1.0).alias("weight"))
-    return fused(cells, resampler, "target_cell")
+    return fused(cells, resampler, "target_cell", zeros=True)
 
 
 def apply_matrix(field: DataFrame, t: DataFrame, resampler: Resampler, grid: Grid, batch: list[str], values: list[str]) -> DataFrame:
-    """matrix() applied to a field on `grid`, which must be the matrix's source grid."""
+    """matrix() applied to a field on `grid`, which must be the matrix's source grid; null, NaN and missing cells spread as NaN."""
     if not grid.same(resampler.source):
         raise ValueError("the field's grid is not the resampler's source grid")
     n = len(resampler.target.lons)
-    met = field.join(t.select("target_cell", F.col("lat_idx").alias("_y"), F.col("lon_idx").alias("_x"), "weight"), (F.col("lat_idx") == F.col("_y")) & (F.col("lon_idx") == F.col("_x")))
-    out = met.groupBy(*batch, "target_cell").agg(*[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values])
-    return out.select(*batch, F.floor(F.col("target_cell") / n).cast("int").alias("lat_idx"), (F.col("target_cell") % n).cast("int").alias("lon_idx"), *values)
+    return multiplied(field, t.withColumnRenamed("target_cell", "_z_key"), batch, values).select(*batch, F.floor(F.col("_z_key") / n).cast("int").alias("lat_idx"), (F.col("_z_key") % n).cast("int").alias("lon_idx"), *values)
+
+
+def multiplied(field: DataFrame, rows: DataFrame, batch: list[str], values: list[str], small: bool = False) -> DataFrame:
+    """batch, _z_key and the sums of weight * value over rows(_z_key, lat_idx, lon_idx, weight); NaN where any cell of a row is null, NaN or missing."""
+    side = rows.select("_z_key", F.col("lat_idx").alias("_z_y"), F.col("lon_idx").alias("_z_x"), F.col("weight").alias("_z_w"))
+    met = field.join(F.broadcast(side) if small else side, (F.col("lat_idx") == F.col("_z_y")) & (F.col("lon_idx") == F.col("_z_x")))
+    nan = F.lit(float("nan"))
+    sums = met.groupBy(*batch, "_z_key").agg(F.count("*").alias("_z_n"), *[F.sum(F.col("_z_w") * F.coalesce(F.col(v), nan)).alias(f"_z_v{i}") for i, v in enumerate(values)])
+    whole = rows.groupBy(F.col("_z_key").alias("_z_key2")).agg(F.count("*").alias("_z_all"))
+    out = sums.join(F.broadcast(whole) if small else whole, F.col("_z_key") == F.col("_z_key2"))
+    return out.select(*batch, "_z_key", *[F.when(F.col("_z_n") == F.col("_z_all"), F.col(f"_z_v{i}")).otherwise(nan).alias(v) for i, v in enumerate(values)])

@@ -22,3 +22,12 @@ def packed(field: DataFrame, batch: list[str], n_lon: int, value: str = "v") ->
 def masked(field: DataFrame, condition, value: str = "v") -> DataFrame:
     """`value` set to NaN where the condition holds."""
     return field.withColumn(value, F.when(condition, F.lit(float("nan"))).otherwise(F.col(value)))
+
+
+def selected(messages: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns have the wanted value, or one of several; a filter that the scan takes over."""
+    for column, value in wanted.items():
+        if column not in messages.columns:
+            raise ValueError(f"the messages have no {column!r}")
+        messages = messages.filter(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == F.lit(value))
+    return messages
