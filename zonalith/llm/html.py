@@ -23,12 +23,13 @@ _part = re.compile(r"[a-z]+")
 
 #: Elements whose whole content is no text of the page.
 UNSEEN = frozenset("script style noscript template iframe svg math canvas object embed audio video select textarea button head title datalist map".split())
+_ends = {name: re.compile(rf"</{name}(?:\s[^>]*)?>", re.IGNORECASE) for name in UNSEEN}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var img wbr".split())
 #: Elements and parts of class names of what stands around an article.
 AROUND = frozenset("nav footer aside form dialog menu fieldset".split())
 AROUND_NAMES = frozenset(
-    "ad ads advert advertisement advertising adsense banner promo promotion promoted sponsor sponsored sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar "
+    "ad ads advert advertisement advertising adsense banner promo promotion promoted sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar "
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social comment comments commentlist discussion disqus replies reply respond "
     "related recommended recommendations recommendation widget widgets search searchform pagination pager toolbar copyright legal disclaimer complementary contentinfo".split()
 )
@@ -46,68 +47,81 @@ class Block:
     parts: list[str] = field(default_factory=list)
 
 
+#: A class name with one of these says how its element is laid out, not what it is.
+MODIFIERS = frozenset("has no with without not non by is".split())
+
+
 def _names(attributes: str) -> set[str]:
+    """The parts of all names that an element is given, without those of names with a modifier."""
     out: set[str] = set()
     if "=" in attributes:
         for m in _named.finditer(attributes):
-            out.update(_part.findall((m[1] or m[2] or m[3] or "").lower()))
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = _part.findall(name)
+                if not MODIFIERS.intersection(parts):
+                    out.update(parts)
     return out
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's runs of text without a block element's edge between them, in order, without empty ones."""
+    """The page's runs of text without a block element's edge between them, in order, without empty ones.
+
+    An inline element whose name says that it stands around an article counts as such only if it is all of its block: inside
+    a sentence it is text like any other.
+    """
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, inside what stands around, inside an article
-    own: list[tuple[str, bool]] = []
+    own: list[tuple[str, bool, bool]] = []  # text, in a link, in an inline element that stands around
+    inline: list[tuple[str, bool]] = []
     links = 0
 
+    def put(text: str) -> None:
+        own.append((text, links > 0, any(on for _, on in inline)))
+
     def close() -> None:
         if own:
-            text = " ".join(html.unescape("".join(t for t, _ in own)).split())
+            text = " ".join(html.unescape("".join(t for t, *_ in own)).split())
             if text:
                 words = len(text.split())
-                linked = len(html.unescape("".join(t if on else " " for t, on in own)).split())
-                out.append(Block(words, min(words, linked), stack[-1][1], stack[-1][2], text))
+                linked = len(html.unescape("".join(t if on else " " for t, on, _ in own)).split())
+                beside = all(on for t, _, on in own if t.strip())
+                out.append(Block(words, min(words, linked), stack[-1][1] or beside, stack[-1][2], text))
             own.clear()
 
-    at, skip = 0, ""
-    for m in _token.finditer(page):
-        if m.start() < at:
-            continue
-        if skip:
-            name, end = (m[2] or m[5] or "").lower(), m[1] or m[4]
-            if name != skip or not end:
-                continue
-            skip, at = "", m.end()
-            continue
+    at = 0
+    while m := _token.search(page, at):
         if m.start() > at:
-            own.append((page[at : m.start()], links > 0))
+            put(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                own.append((html.escape(m[0][9:-3], quote=False), links > 0))
+                put(html.escape(m[0][9:-3], quote=False))
             continue
         end, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name == "a":
             links = 0 if end else 1
-        if name in INLINE and name != "a":
-            if not _names(attributes) & AROUND_NAMES:
-                continue
         if name == "br":
-            own.append((" ", False))
+            own.append((" ", False, False))
+            continue
+        if name in INLINE:
+            if not end and name not in VOID:
+                inline.append((name, bool(_names(attributes) & AROUND_NAMES)))
+            elif end:
+                k = next((k for k in range(len(inline) - 1, -1, -1) if inline[k][0] == name), None)
+                if k is not None:
+                    del inline[k]
             continue
         if name in UNSEEN:
-            if not end and not attributes.endswith("/"):
+            if not end and not attributes.endswith("/"):  # what comes next is read from its end on
                 close()
-                close_at = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+                close_at = _ends[name].search(page, at)
                 at = close_at.end() if close_at else len(page)
             continue
-        if name == "a":
-            continue
         close()
         if name in VOID or attributes.endswith("/"):
             continue
+        inline.clear()  # no inline element reaches over the edge of a block
         if end:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
@@ -126,7 +140,7 @@ def blocks(page: str) -> list[Block]:
             around = around or not (name in MAIN and not names & AROUND_NAMES)
         stack.append((name, around, main))
     if at < len(page):
-        own.append((page[at:], links > 0))
+        put(page[at:])
     close()
     return out
 
