@@ -28,6 +28,8 @@ PATTERNS = {
 }
 #: A cheap test that a text must pass before its pattern is tried; 0 for none.
 _GATES = {"email": "instr(text, '@') > 0", "ip": r"text rlike '[0-9]\\.[0-9]'", "card": r"text rlike '[0-9](?:[ -]?[0-9]){8}'", "phone": "instr(text, '+') > 0", "key": "text rlike '[A-Za-z0-9_]{20}'", "local": r"text rlike '[0-9]{3}[ .-][0-9]{4}'"}
+#: Characters of a match that fails its kind's test from which it may be an added span; years and other short numbers are none.
+LEAST = 9
 #: Fixed values of the gazetteers.
 DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|uk|it|nl|eu|ch|at"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)"
@@ -40,14 +42,26 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Matches whose places are added up together; so many such sums are added up in turn.
+RUN = 128
+
+
 def _all(name: str) -> Column:
-    """The matches of a pattern as (s, e, t), code points from 0, end exclusive: what lies between them gives their places."""
+    """The matches of a pattern as (s, e, t), code points from 0, end exclusive: what lies between them gives their places.
+
+    Growing an array copies it, so places are added up by runs of RUN matches, then over runs.
+    """
     step = f"a.at + length(p_{name}[i - 1])"
     row = f"named_struct('s', {step}, 'e', {step} + length(m_{name}[i - 1]), 't', m_{name}[i - 1])"
-    return F.expr(
-        f"if(size(m_{name}) > 0, aggregate(sequence(1, size(m_{name})), named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,t:string>>)), "
-        f"(a, i) -> named_struct('at', {step} + length(m_{name}[i - 1]), 'out', array_append(a.out, {row})), a -> a.out), cast(array() as array<struct<s:int,e:int,t:string>>))"
+    none = "cast(array() as array<struct<s:int,e:int,t:string>>)"
+    own = (
+        f"transform(sequence(0, (size(m_{name}) - 1) div {RUN}), k -> aggregate(sequence(cast(k * {RUN} + 1 as int), cast(least(size(m_{name}), (k + 1) * {RUN}) as int)), named_struct('at', 0, 'out', {none}), "
+        f"(a, i) -> named_struct('at', {step} + length(m_{name}[i - 1]), 'out', array_append(a.out, {row}))))"
     )
+    # transform(array(x), q -> ...)[0] evaluates x once.
+    begins = "aggregate(q, array(0), (b, x) -> array_append(b, element_at(b, -1) + x.at))"
+    moved = "flatten(transform(q, (x, k) -> transform(x.out, y -> named_struct('s', y.s + b[k], 'e', y.e + b[k], 't', y.t))))"
+    return F.expr(f"if(size(m_{name}) > 0, transform(array({own}), q -> transform(array({begins}), b -> {moved})[0])[0], {none})")
 
 
 def _digits(x: str) -> str:
@@ -107,7 +121,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     parts.append(F.expr(f"transform(local, x -> {struct.format(kind='phone', source='local', ok='false')})"))
     rows = rows.select("doc_id", "text", F.concat(*parts).alias("all"))
     # Small matches that are no base spans, such as years, are no candidates.
-    rows = rows.select("doc_id", "text", F.expr("filter(all, x -> x.ok or length(x.t) >= 9)").alias("all"))
+    rows = rows.select("doc_id", "text", F.expr(f"filter(all, x -> x.ok or length(x.t) >= {LEAST})").alias("all"))
     digits = _digits("x.t")
     kept = ", ".join(f"'{f}', x.{f}" for f in ("s", "e", "kind", "source", "ok", "t"))
     luhn = f"x.kind = 'card' and if(length({digits}) between 2 and 30, {_luhn('x.t')}, false)"
@@ -159,24 +173,24 @@ def _classifier(rows: DataFrame, posterior: list[float]) -> tuple[float, dict[st
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs(doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans for each row of docs(doc_id, text).
 
     Base spans are the matches of the four patterns that pass their test, kind by kind; spans holds these and the added
     ones that overlap none of them, as kind:start:end by start and kind, code points, end exclusive.  A null text is the
     empty one: no spans, and the sha256 of the empty string.  Repeated rows and null ids each give their row; an empty
     table gives none.  Other columns are not looked at.
 
-    One pass over the texts without a shuffle; what meets on the driver is bounded: 243 vote patterns and about 60
-    feature values.
+    One pass over the texts, whose spans are written without the text they hold; they meet again by row in a shuffle of
+    spans.  What meets on the driver is bounded: 243 vote patterns and about 60 feature values.
     """
     fields = "s e kind source ok t digits luhn before".split()
-    found = written(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "candidates")
-    each = _votes(found.select(F.explode("all").alias("x")).select(*[F.col(f"x.{f}").alias(f) for f in fields])).select("pattern", "features")
-    voted = written(each, "votes")
+    found = candidates(docs).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.explode_outer("all").alias("x"))
+    rows = _votes(found.select("doc_id", "row", *[F.col(f"x.{f}").alias(f) for f in fields]))
+    rows = written(rows.select("doc_id", "row", "s", "e", "kind", "ok", "pattern", "features"), "votes")
+    voted = rows.filter(F.col("kind").isNotNull())
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, _ = reliabilities(counts)
     start, weights = _classifier(voted, posterior)
-    rows = _votes(found.select("doc_id", "row", F.explode_outer("all").alias("x")).select("doc_id", "row", *[F.col(f"x.{f}").alias(f) for f in fields]))
     odds = F.lit(start)
     if weights:
         of = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
@@ -190,4 +204,4 @@ def find(docs: DataFrame) -> DataFrame:
     per = per.select("doc_id", "base", F.sort_array(F.concat("base", free)).alias("spans"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     of_kind = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return per.select("doc_id", *[of_kind(k) for k in KINDS[:4]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return per.select("doc_id", *[of_kind(k) for k in KINDS[:4]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
