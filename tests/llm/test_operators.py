@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from zonalith.llm import html, linededup, lm, mixing, packing, pii, quality, simhash, topk
@@ -158,6 +159,15 @@ def test_quality(docs, rows, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_references_of_many_languages(spark, docs, rows):
+    """The same verdicts whether references are sent or joined."""
+    order = lambda df: sorted(map(str, df.collect()))
+    many = docs.withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("l"), F.col("doc_id") % 7)))
+    assert order(quality.judge(many)) == order(quality.judge(many, known=0))
+    assert order(quality.keep_good(many)) == order(quality.keep_good(many, known=0))
+    assert quality.judge(many.limit(0), known=0).count() == quality.judge(many.limit(0)).count() == 0
+
+
 def test_divergence():
     assert quality.js(np.array([1, 0]), np.array([0, 1])) == pytest.approx(1) and quality.js(np.array([1, 3]), np.array([2, 6])) == 0
 
@@ -265,6 +275,33 @@ def test_edit_distance():
     assert [linededup.edit_distance(*p) for p in (("kitten", "sitting"), ("", "abc"), ("abc", "abc"), ("abcdef", "azced"))] == [3, 3, 0, 3]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<script>var a = "<!--";</script><article><p>Hello there <b>world</b>.</p></article></body>', "Hello there world."),
+        ("<style>a > b { content: '<!--' }</style><article><p>One.</p><script>if (a<b) {}</script><p>Two.</p></article>", "One.\nTwo."),
+        ('<article><p>The <span class="alert">very</span> end.</p></article>', "The very end."),
+        ('<article><p>In <span class="note"><span>an inner</span> one</span> here.</p><p><span class="ad">Buy now</span></p></article>', "In an inner one here."),
+        ('<article><div class="side-by-side"><p>Real paragraph of the article, as long as this.</p></div></article>', "Real paragraph of the article, as long as this."),
+        ('<body class="has-sidebar"><article><p>A paragraph of the article.</p></article><div class="left-sidebar"><p>Not this one.</p></div></body>', "A paragraph of the article."),
+        ("<article><p>Open <b>bold<p>Next, with <i>both</b></i> here.</article>", "Open bold\nNext, with both here."),
+        ("<article><textarea>no</textarea><p>a &lt;b&gt; &amp;amp; c&nbsp;d\n  e</p></article>", "a <b> &amp; c d e"),
+        ("<article><p>Kept.</p><script>never closed <p>lost</p>", "Kept."),
+    ],
+)
+def test_html_markup(page, text):
+    assert html.main_text(page, html.default_tree()) == text
+
+
+def test_html_of_awkward_tables(spark):
+    """Very long pages, repeated rows, null ids, extra columns and no rows at all."""
+    long = "<article>" + "".join(f"<p>Paragraph number {i} of a very long page.</p>" for i in range(20_000)) + "</article>"
+    pages = spark.createDataFrame([(1, "u", long, 1), (1, "u", long, 1), (None, None, None, 2), (3, "v", "", 3)], "page_id long, url string, html string, text int")
+    found = {r["page_id"]: r for r in html.extract(pages).collect()}
+    assert found[1]["text"].count("\n") == 19_999 and found[None]["text"] == found[3]["text"] == "" and html.extract(pages).count() == 4
+    assert html.extract(pages.limit(0)).count() == 0
+
+
 def test_html_pages(spark):
     tree = html.default_tree()
     page = "<html><body><header><h1>Site</h1></header><nav><li><a href=x>Home</a></nav><main><header><h1>Title</h1></header><p>Text &amp; <b>o</b>ne <a href='x'>link</a>.<p>Two\n lines<aside>note</aside><form>Mail</form><script>var x='</p>'</script><section class='comments'><p>Nice</p></section></main><div class='cookie-notice'>ok</div><footer>&copy;</footer>"
@@ -302,6 +339,15 @@ def test_personal_data(spark, rows, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_personal_data_of_long_texts(spark):
+    """More matches than a run of places, in one text; repeated rows and null ids."""
+    text = " ".join(f"user{i}@host{i}.org 10.0.{i % 256}.7" for i in range(1500)) + " ünd a@b.de"
+    found = pii.find(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")).collect()
+    expected = [(m.start(), k, m.end()) for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"\b[0-9]+(\.[0-9]+){3}\b")) for m in re.finditer(p, text)]
+    digest = hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in sorted(expected)).encode()).hexdigest()
+    assert len(found) == 3 and all((r["n_email"], r["n_ip"], r["base_sha256"]) == (1501, 1500, digest) and r["n_spans"] >= 3001 for r in found)
+
+
 def test_reliabilities_find_the_better_labeler():
     rng, counts = random.Random(6), Counter()
     for _ in range(4000):

@@ -45,9 +45,9 @@ def good(docs):
         repeat = {i + k for i in range(len(tokens) - 2) if threes[tuple(tokens[i : i + 3])] > 1 for k in range(3)}
         if len(tokens) < 50 or 2 * len(repeat) > len(tokens):
             continue
-        if sum(chars) >= rules.least_chars and divergence(chars, [sum(h[0][i] for h in same) for i in range(8)]) > rules.most_char_js:
+        if sum(chars) >= rules.least_chars and divergence(chars, [sum(h[0][i] for h in same) for i in range(8)]) ** 0.5 > rules.most_char_js:
             continue
-        if divergence(words, [sum(h[1][i] for h in same) for i in range(len(words))]) <= rules.most_word_js + rules.word_slack / len(tokens):
+        if divergence(words, [sum(h[1][i] for h in same) for i in range(len(words))]) <= rules.most_word_js**2 + rules.word_slack / len(tokens):
             out.append(d)
     return out
 

@@ -13,43 +13,53 @@ from zonalith.llm.store import TokenStore
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from the store: see TokenStore."""
     store = TokenStore.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return store.summaries(spark)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, lines kept and numbers of removed lines of every document: see linededup.line_dedup()."""
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: see html.extract()."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document: see pii.find()."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens: see packing.pack()."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances and the verdict for every document: see quality.judge()."""
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the component of every document: see simhash.near_groups()."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, source, target and words taken of every document: see mixing.mix()."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best scores of every vector whose id is divisible by 50: see topk.top_k()."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
 def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scores of every document: see lm.score()."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 

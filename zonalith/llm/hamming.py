@@ -114,17 +114,17 @@ def _others(column: str, at: int, n: int):
 
 def sharded(prints: DataFrame, radius: int, most: int = MOST) -> DataFrame:
     """prints(fp, ...) copied to shards: shard long (shards may meet under one hash: no harm), block, side (0: stored and searched; 1, 2: stored or searched only)."""
-    blocks = blocks(64, radius + 1)
+    own = blocks(64, radius + 1)
     rest = prints.columns
-    first = prints.select("*", F.posexplode(_values("fp", blocks)).alias("i", "v"))
+    first = prints.select("*", F.posexplode(_values("fp", own)).alias("i", "v"))
     sizes = first.groupBy("i", "v").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     large = written(sizes.select("i", "v", F.lit(True).alias("large")), "shards")
     dealt = first.join(large, ["i", "v"], "left").withColumn("block", F.col("i"))
     cold = dealt.filter(F.col("large").isNull()).select(*rest, "block", F.xxhash64("i", "v").alias("shard"), F.lit(0).alias("side"))
     other = F.lit(None).cast("long")
-    for i, (at, n) in enumerate(blocks):
+    for i, (at, n) in enumerate(own):
         other = F.when(F.col("i") == i, _others("fp", at, n)).otherwise(other)
-    left = 64 - max(n for _, n in blocks)
+    left = 64 - max(n for _, n in own)
     again = dealt.filter(F.col("large").isNotNull()).withColumn("_other", other)
     again = again.select(*rest, "block", "i", "v", F.posexplode(_values("_other", blocks(left, radius + 1))).alias("j", "w"))
     key = F.xxhash64("i", "v", "j", "w")

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from zonalith.llm import hamming
 from zonalith.llm.common import fresh, small_batches, text_batches, utf8, written
-from zonalith.llm.components import components
+from zonalith.llm.components import components, local_roots
+
+#: Queries that walk the trees together.
+QUERIES = 1 << 12
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -65,11 +68,11 @@ class BKTrees:
             stay = at != waiting
             at, waiting = at[stay], waiting[stay]
 
-    def within(self, asked: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(node, query) positions within the radius; queries walk their group's tree together, along edges d - r to d + r only."""
-        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for at in range(0, len(asked), 1 << 13):
-            query = np.arange(at, min(at + (1 << 13), len(asked)))
+    def within(self, asked: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(node, query) positions within the radius, of some queries at a time; these walk their group's tree together, along edges d - r to d + r only."""
+        for at in range(0, len(asked), QUERIES):
+            hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            query = np.arange(at, min(at + QUERIES, len(asked)))
             node = self.root[group[query]]
             query, node = query[node >= 0], node[node >= 0]
             while len(node):
@@ -82,15 +85,21 @@ class BKTrees:
                     on = below >= 0
                     ahead.append((query[on], below[on].astype(np.int64)))
                 query, node = np.concatenate([x[0] for x in ahead]), np.concatenate([x[1] for x in ahead])
-        return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+            yield np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
 
 def bk_search(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what near pairs connect; the hits of QUERIES queries are held at once, then only a forest of them."""
     group = np.cumsum(np.append(False, shard[1:] != shard[:-1]))
     stored, asked = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
     trees = BKTrees(fp[stored], group[stored], int(group[-1]) + 1)
-    node, query = trees.within(fp[asked], group[asked], radius)
-    return stored[node], asked[query]
+    root = np.arange(len(fp))
+    for node, query in trees.within(fp[asked], group[asked], radius):
+        a, b = root[stored[node]], root[asked[query]]
+        apart = a != b
+        root = local_roots(len(fp), a[apart], b[apart])[root]
+    child = np.flatnonzero(root != np.arange(len(fp)))
+    return root[child], child
 
 
 def _grouped(docs: DataFrame, radius: int, words: int, seed: int, most: int) -> DataFrame:
