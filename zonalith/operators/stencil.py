@@ -54,7 +54,8 @@ def coverage(edges: DataFrame, grid: Grid) -> DataFrame:
     y0, y1, w = y_first + F.col("lat_idx") * dy, y_first + (F.col("lat_idx") + 1) * dy, F.col("hx") - F.col("lx")
     sign = F.when(F.col("xb") > F.col("xa"), -1.0).otherwise(1.0)
     part = F.when(F.col("lat_idx") < n_lat, _above(F.col("yl") - y0, F.col("yh") - y0, w) - _above(F.col("yl") - y1, F.col("yh") - y1, w)).otherwise(0.0)
-    rows = e.groupBy("geom_key", "lon_idx", "lat_idx").agg(F.sum(sign * part).alias("own"), F.sum(F.when(F.col("lat_idx") == F.col("low"), sign * w * dy).otherwise(0.0)).alias("step"))
+    # One shuffle serves the sums and the running sums.
+    rows = e.repartition("geom_key", "lon_idx").groupBy("geom_key", "lon_idx", "lat_idx").agg(F.sum(sign * part).alias("own"), F.sum(F.when(F.col("lat_idx") == F.col("low"), sign * w * dy).otherwise(0.0)).alias("step"))
     down = Window.partitionBy("geom_key", "lon_idx").orderBy(F.col("lat_idx").desc())  # no more rows than latitudes
     rows = rows.select("*", F.sum("step").over(down).alias("below"), F.coalesce(F.lead("lat_idx").over(down), F.lit(-1)).alias("next"))
     touched = F.struct(F.col("lat_idx").alias("y"), (F.col("own") + F.col("below") - F.col("step")).alias("a"))
