@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8) the document with the smallest doc_id; of equal rows, one."""
+    """Of each group of near copies (SimHashes of 5-word shingles in BK-trees, then Jaccard similarity 0.8) the document with the smallest doc_id; of equal rows, one."""
     return neardocs.keep_one(docs)
 
 

@@ -8,11 +8,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from zonalith.llm import linededup, mixing, quality
+from zonalith.llm import linededup, mixing, neardocs, quality, simhash
 
 SMALL = "/root/testdata/sf0.001"
 EXTRA = ["rank", "fp", "_doc", "_mark", "_gone", "_Row"]
@@ -213,3 +214,41 @@ def test_near_dedup_by_shingles(spark):
     linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(groups(len(texts), linked))
+
+
+def test_near_dedup_searches_simhashes_in_trees(monkeypatch):
+    """SimHashes bit by bit; pairs tested are those that the BK-trees have within reach, also in parts of a shard; all of similarity 0.8 are linked."""
+    rng = np.random.default_rng(7)
+    texts = ["", "one", "two words"]
+    for n in (9, 12, 30, 90, 300):
+        base = [f"w{k}" for k in rng.integers(0, 10**6, n)]
+        for edits in (0, 1, 1, 2, n // 30, n // 10):
+            own = list(base)
+            for k in rng.integers(0, n, edits):
+                own[k] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(own))
+    texts = list(dict.fromkeys(texts))
+    hashes, counts = neardocs.shingles([t.encode() for t in texts], 5)
+    sets = [set(x.tolist()) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+    fp = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own)) for own in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)), pa.int64())], names=["text", "h"])
+    assert next(neardocs._Keys(5)(batch))[2].tolist() == fp
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if (fp[i] ^ fp[j]).bit_count() <= neardocs.reach(0.8)}
+    linked = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and sets[i]}
+    assert linked <= near and 30 <= len(near) < len(texts) * (len(texts) - 1) // 2
+    for side in ([0] * len(texts), [1 + k % 2 for k in range(len(texts))]):
+        met = {(min(x), max(x)) for x in near if side[x[0]] == 0 or side[x[0]] != side[x[1]]}
+        rows = pa.RecordBatch.from_arrays([pa.array([5] * len(texts)), pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(side, pa.int32()), pa.array(texts)], names=["shard", "h", "root", "side", "text"])
+        found, plain = [], simhash.BKTrees.within_wide
+
+        def seen(self, *args, found=found, side=side):
+            stored, asked = [k for k, s in enumerate(side) if s != 2], [k for k, s in enumerate(side) if s != 1]
+            for node, query in plain(self, *args):
+                found.extend((stored[x], asked[y]) for x, y in zip(node.tolist(), query.tolist(), strict=True))
+                yield node, query
+
+        monkeypatch.setattr(simhash.BKTrees, "within_wide", seen)
+        links = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for b in neardocs._Alike(0.8, 5)(iter([rows])) for r in b.to_pylist()}
+        monkeypatch.setattr(simhash.BKTrees, "within_wide", plain)
+        assert {(min(x), max(x)) for x in found if x[0] != x[1]} == met
+        assert links <= linked and groups(len(texts), links) == groups(len(texts), linked & met)

@@ -87,6 +87,25 @@ class BKTrees:
                 query, node = np.concatenate([x[0] for x in ahead]), np.concatenate([x[1] for x in ahead])
             yield np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
+    def within_wide(self, asked: np.ndarray, group: np.ndarray, radius: int, queries: int = QUERIES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """within(), for radii of many edges: the children between edges d - r and d + r are taken as one span instead of edge by edge."""
+        below = self.child[self.child >= 0].astype(np.int64)
+        before = np.append(0, np.cumsum(self.child >= 0))
+        for at in range(0, len(asked), queries):
+            hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            query = np.arange(at, min(at + queries, len(asked)))
+            node = self.root[group[query]]
+            query, node = query[node >= 0], node[node >= 0]
+            while len(node):
+                d = np.bitwise_count(asked[query] ^ self.values[node]).astype(np.int64)
+                near = d <= radius
+                hits.append((node[near], query[near]))
+                low = before[node * 65 + np.maximum(d - radius, 0)]
+                spans = before[node * 65 + np.minimum(d + radius, 64) + 1] - low
+                query = np.repeat(query, spans)
+                node = below[np.arange(len(query)) + np.repeat(low - np.cumsum(spans) + spans, spans)]
+            yield np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+
 
 def bk_search(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what near pairs connect; the hits of QUERIES queries are held at once, then only a forest of them."""
