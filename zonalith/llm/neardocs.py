@@ -88,7 +88,7 @@ class _Keys:
             first = (np.cumsum(counts) - counts)[on]
             key = linesketch.minima(hashes, first, *KEYS) if len(on) else np.zeros((0, KEYS[0]), np.uint64)
             none = np.flatnonzero(counts == 0)
-            yield h, keyed.log_size(counts), prints(hashes, counts), np.append(key.reshape(-1), np.ones(len(none), np.uint64)), np.append(np.repeat(on, KEYS[0]), none)
+            yield h, keyed.log_size(counts), prints(hashes, counts), np.append(key.reshape(-1), np.ones(len(none), np.uint64)), np.append(np.repeat(on, KEYS[0]), none), np.zeros(len(h), bool)
 
 
 class _Alike:
@@ -133,7 +133,7 @@ def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5, most: int = ha
     """
     small_batches(docs.sparkSession)
     marked = docs.select("text", F.xxhash64("text").alias("h"))
-    met = keyed.candidates(marked, _Keys(words), least, most)
+    met = keyed.candidates(marked, _Keys(words), least, most, reach=reach(least))
     texts = written(marked.join(met.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).select("h", "text"), "texts")
     roots = keyed.groups(met, texts, _Alike(least, words), most)
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark")).distinct()
