@@ -401,3 +401,18 @@ def test_forward_is_the_sum_over_paths():
         total += p
     for _, sizes, steps in lm._padded([np.array(seq), np.array([0])]):
         assert lm.forward(model, sizes, steps)[2][0] == pytest.approx(math.log(total))
+
+
+def test_hmm_works_on_several_batches_at_once():
+    """Rows and their order stay, small batches are joined up to AT_ONCE bytes, and a score does not depend on how rows are dealt."""
+    rng = np.random.default_rng(8)
+    symbols = [rng.integers(0, 9, n).astype("<i4").tobytes() for n in rng.integers(1, 40, 50)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(symbols, pa.binary())], names=["row", "symbols"])
+    parts = [whole.slice(i, 7) for i in range(0, 50, 7)]
+    (one,) = lm._several(iter(parts))
+    assert one.to_pylist() == whole.to_pylist() and list(lm._several(iter([]))) == []
+    model = lm.Model(*(x / x.sum(axis=k, keepdims=True) for x, k in ((rng.random(3), 0), (rng.random((3, 3)), 1), (rng.random((9, 3)), 0))))
+    shared = type("Shared", (), {"value": model})
+    scores = [r for b in lm._Score(shared)(iter(parts)) for r in b.to_pylist()]
+    alone = [r for p in range(50) for b in lm._Score(shared)(iter([whole.slice(p, 1)])) for r in b.to_pylist()]
+    assert [r["row"] for r in scores] == list(range(50)) and np.allclose([r["score"] for r in scores], [r["score"] for r in alone], rtol=1e-12)
